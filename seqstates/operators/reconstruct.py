@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seqstates.functions.codes import context_noise, context_text, successor
 from seqstates.operators.grams import MODEL, NO_CONTEXT
+from seqstates.sources.scratch import sized_join
 
 
 def is_noisy(contexts: DataFrame) -> bool:
@@ -142,24 +143,13 @@ def state_symbol_counts(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy(*MODEL, "state", "sym").agg(F.sum("c").alias("w"))
 
 
-def state_sequence(
-    labelled: DataFrame,
-    fitted: DataFrame,
-    max_broadcast_rows: int = 500_000,
-    salts: int = 64,
-) -> DataFrame:
-    """State of every position of `last_k` rows; `fitted` is a written table.
+def state_sequence(labelled: DataFrame, fitted: DataFrame, **options) -> DataFrame:
+    """State of every position of `last_k` rows, for the same k.
 
-    The map from contexts to states is broadcast when a count shows it to be small.
-    Otherwise it is repeated over `salts` so that a context that holds a large part
-    of the positions is joined by many tasks.
+    Contexts unseen in training have no state and their positions are left out.
     """
     noisy = is_noisy(fitted)
-    keys = ["series_id", "condition_id", "ctx"] + (["z"] if noisy else [])
     seen = fitted.where(F.col("state").isNotNull())
     states = seen.select("series_id", "condition_id", *shown_context(seen, noisy), "state")
-    if states.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        return labelled.join(F.broadcast(states), keys)
-    repeated = states.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = labelled.withColumn("salt", (F.col("t") % salts).cast("int"))
-    return salted.join(repeated, [*keys, "salt"]).drop("salt")
+    keys = ["series_id", "condition_id", "ctx"] + (["z"] if noisy else [])
+    return sized_join(labelled, states, keys, salt="t", **options)

@@ -69,7 +69,7 @@ def condition_lengths(series: DataFrame, conditions: Sequence[Condition], base_p
         )
         for c in conditions
     ]
-    lengths = series.groupBy("series_id").agg(F.max("length").alias("length"))
+    lengths = series.groupBy("series_id").agg(F.count("*").alias("length"))
     rows = lengths.select("*", F.explode(F.array(*fields)).alias("c")).select("series_id", "length", "c.*")
     return rows.withColumn("n_symbols", F.expr("(length + subsample_step - 1) div subsample_step"))
 

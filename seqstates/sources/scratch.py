@@ -14,6 +14,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 500_000
+SALTS = 64
 
 _local_root: str | None = None
 _written: list[str] = []
@@ -48,6 +52,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    *,
+    salt: str | None = None,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Inner join of many rows with a lookup table that has unique keys.
+
+    The lookup is written, which also counts it.  Up to `max_broadcast_rows` it is
+    broadcast.  A larger one is joined by key; with `salt`, an integer column of the
+    rows, it is repeated so that a key that holds a large part of them is joined by
+    many tasks.
+    """
+    lookup = materialize(lookup, "lookup")
+    if lookup.count() <= max_broadcast_rows:
+        return rows.join(F.broadcast(lookup), keys)
+    if salt is None:
+        return rows.join(lookup, keys)
+    repeated = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", (F.col(salt) % SALTS).cast("int"))
+    return salted.join(repeated, [*keys, "salt"]).drop("salt")
+
+
 def drop_materialized(spark: SparkSession) -> int:
     """Delete every table written by `materialize` in this process; return how many."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()

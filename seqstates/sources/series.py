@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqstates.sources.scratch import materialize
+from seqstates.sources.scratch import materialize, sized_join
 
 MAX_GROUP_ROWS = 4_000_000
 
@@ -92,8 +92,9 @@ def range_index(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
     `monotonically_increasing_id` counts along each sorted partition.  The layout
     is written once, because the offsets and the rows have to see the same one.
-    Rows and offsets meet on (series_id, partition), whose groups are never larger
-    than a partition, however large the series.
+    There is an offset per series and partition, usually few enough to broadcast.
+    Else the join is on (series_id, partition), whose groups are never larger than a
+    partition, however large the series.
     """
     keys = ["series_id", *order]
     laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -108,7 +109,7 @@ def range_index(rows: DataFrame, order: Sequence[str]) -> DataFrame:
         (F.sum("c").over(whole.orderBy("part")) - F.col("c") - F.col("first_pos")).alias("shift"),
         F.sum("c").over(whole).alias("length"),
     )
-    joined = laid.join(offsets, ["series_id", "part"])
+    joined = sized_join(laid, offsets, ["series_id", "part"])
     return _result(joined.withColumn("t", F.col("pos") + F.col("shift")))
 
 
@@ -168,4 +169,4 @@ def as_symbol_series(df: DataFrame) -> DataFrame:
     example = wrong.select("series_id").first()
     if example is not None:
         raise ValueError(f"series {example[0]!r}: symbols must be 0 or 1 at positions 0..n-1")
-    return _result(df.join(lengths.select("series_id", "length"), "series_id"))
+    return _result(sized_join(df, lengths.select("series_id", "length"), ["series_id"], salt="t"))
