@@ -296,9 +296,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "phase_grid": summary + f"SELECT {phase_columns()} FROM summary",
         "phase_grid_wide": summary
-        + "SELECT base_process, reconstructor, representation, subsample_step, flip_p, "
+        + "SELECT base_process, reconstructor, 'last_k' AS representation, subsample_step, flip_p, "
         + ", ".join(f"max(CASE k WHEN {k} THEN round(1 - unifilarity_score_mean, 10) + 0.0 END) AS k{k}" for k in KS)
-        + " FROM summary GROUP BY base_process, reconstructor, representation, subsample_step, flip_p",
+        + " FROM summary GROUP BY base_process, reconstructor, subsample_step, flip_p",
         "closure_mask": summary + f"SELECT {phase_columns()}, {closed()} AS closed FROM summary",
         "closure_report": summary
         + " UNION ALL ".join(

@@ -12,28 +12,11 @@ from pyspark.sql import functions as F
 MAX_K = 60
 
 
-def shift_left(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", value.cast("long"), bits.cast("int"))
-
-
-def shift_right(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftrightunsigned", value.cast("long"), bits.cast("int"))
-
-
-def low_bits(value: Column, bits: Column) -> Column:
-    """The lowest `bits` bits of `value`."""
-    return value.bitwiseAND(shift_left(F.lit(1), bits) - 1)
-
-
-def with_noise(symbols: Column, z: Column) -> Column:
-    return F.shiftleft(symbols, 1).bitwiseOR(z.cast("long"))
-
-
-def successor(ctx: Column, k: Column, y: int, z_next: int | None = None) -> Column:
-    """Context one position later, after symbol `y` (and noise bit `z_next`)."""
-    symbols = ctx if z_next is None else F.shiftright(ctx, 1)
-    moved = low_bits(F.shiftleft(symbols, 1).bitwiseOR(F.lit(y)), k)
-    return moved if z_next is None else with_noise(moved, F.lit(z_next))
+def successor(y: int, z_next: int | None = None) -> str:
+    """SQL text: the context after `ctx` and symbol `y` (and noise bit `z_next`)."""
+    symbols = "ctx" if z_next is None else "shiftright(ctx, 1)"
+    moved = f"(shiftleft({symbols}, 1) | {y}L) & (shiftleft(1L, k) - 1)"
+    return moved if z_next is None else f"shiftleft({moved}, 1) | {z_next}L"
 
 
 def context_text(ctx: Column, k: Column, noisy: bool = False) -> Column:

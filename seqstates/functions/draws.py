@@ -1,22 +1,28 @@
-"""Reproducible draws: a value depends on what is hashed, never on the partitioning."""
+"""Reproducible draws: a value depends on what is hashed, never on the partitioning.
 
-from __future__ import annotations
+All functions return SQL text over the columns of the row.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def uniform(salt: str, seed: int, *parts: Column) -> Column:
+def uniform(salt: str, seed: int, *parts: str) -> str:
     """Uniform double in [0, 1): the first 32 bits of an md5 over salt, seed and parts."""
-    text = F.concat_ws(":", F.lit(salt), F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    text = ", ".join([f"'{salt}'", f"'{seed}'", *[f"CAST({part} AS STRING)" for part in parts]])
+    bits = f"conv(substring(md5(concat_ws(':', {text})), 1, 8), 16, 10)"
+    return f"(CAST({bits} AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
 
-def flip_draw(seed: int, series_id: Column, t: Column) -> Column:
+def flip_draw(seed: int) -> str:
     """Draw that decides on a flip; `flip_p` is left out, so smaller p flips a subset."""
-    return uniform("flip", seed, series_id, t)
+    return uniform("flip", seed, "series_id", "t")
 
 
-def noise_bit(seed: int, position: Column) -> Column:
+def noise_bit(seed: int, position: str = "lt") -> str:
     """Fair bit per local position, the same for all series and for train and test."""
-    return (uniform("rep", seed, position) < 0.5).cast("int")
+    return f"CAST({uniform('rep', seed, position)} < 0.5 AS INT)"
+
+
+def flipped(flip_p: float) -> str:
+    """Symbol `x` after a flip with probability `flip_p`, given the column `draw`."""
+    return f"(x ^ CAST(draw < CAST({float(flip_p)!r} AS DOUBLE) AS INT))"

@@ -18,18 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqstates.functions.codes import (
-    MAX_K,
-    context_noise,
-    context_text,
-    low_bits,
-    shift_left,
-    shift_right,
-    with_noise,
-)
+from seqstates.functions.codes import MAX_K, context_noise, context_text
 from seqstates.functions.draws import flip_draw, noise_bit
 from seqstates.operators.perturb import flipped, split_position
 from seqstates.conditions import Condition
@@ -59,19 +51,19 @@ def pack_words(series: DataFrame, conditions: Sequence[Condition] = PLAIN, seed:
     steps = sorted({c.subsample_step for c in conditions})
     flips = _flips(conditions)
     if flips[-1] > 0:
-        series = series.withColumn("draw", flip_draw(seed, F.col("series_id"), F.col("t")))
-    kept = [F.when(F.col("t") % step == 0, F.lit(step)) for step in steps]
+        series = series.withColumn("draw", F.expr(flip_draw(seed)))
     if len(steps) > 1:
-        series = series.withColumn("step", F.explode(F.array(*kept))).where("step is not null")
+        kept = ", ".join(f"if(t % {step} = 0, {step}, NULL)" for step in steps)
+        rows = series.selectExpr("*", f"explode(array({kept})) AS step").where("step IS NOT NULL")
     else:
-        series = series.withColumn("step", F.lit(steps[0])).where(F.col("t") % steps[0] == 0)
-    position = F.expr("t div step")
-    shift = (WORD - 1 - position % WORD).cast("int")
-    packed = [F.max("length").alias("length")]
+        rows = series.selectExpr("*", f"{steps[0]} AS step").where(f"t % {steps[0]} = 0")
+    bits = []
     for i, flip_p in enumerate(flips):
-        x = flipped(F.col("x"), F.col("draw"), flip_p) if flip_p > 0 else F.col("x")
-        packed.append(F.bit_or(shift_left(x, shift)).alias(f"bits{i}"))
-    words = series.groupBy("series_id", "step", F.expr(f"t div step div {WORD}").alias("w")).agg(*packed)
+        x = flipped(flip_p) if flip_p > 0 else "x"
+        bit = f"shiftleft(CAST({x} AS BIGINT), CAST({WORD - 1} - t div step % {WORD} AS INT))"
+        bits.append(F.expr(f"bit_or({bit})").alias(f"bits{i}"))
+    words = rows.groupBy("series_id", "step", F.expr(f"t div step div {WORD}").alias("w"))
+    words = words.agg(F.max("length").alias("length"), *bits)
     return words.withColumn("n", F.expr("(length + step - 1) div step"))
 
 
@@ -87,29 +79,27 @@ def with_halo(words: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
     word row grows 62-fold in `positions` and sizing by the bytes of the words would
     leave too few tasks.
     """
-    flips = range(len(_flips(conditions)))
+    flips = _flips(conditions)
     partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = words.withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1))))
-    own = F.col("ahead") == 0
-    columns = ["series_id", "step", (F.col("w") + F.col("ahead")).alias("w"), "length", "n"]
-    columns += [F.when(own, F.col(f"bits{i}")).alias(f"bits{i}") for i in flips]
-    columns += [F.when(~own, F.col(f"bits{i}")).alias(f"halo{i}") for i in flips]
-    sent = sent.select(*columns).where(F.col("w") * WORD < F.col("n"))
-    sent = sent.withColumn("place", F.xxhash64("series_id", "step", "w")).repartition(partitions, "place")
+    columns = [f"if(ahead = 0, bits{i}, NULL) AS bits{i}" for i in range(len(flips))]
+    columns += [f"if(ahead = 1, bits{i}, NULL) AS halo{i}" for i in range(len(flips))]
+    sent = words.selectExpr("*", "explode(array(0, 1)) AS ahead")
+    sent = sent.selectExpr("series_id", "step", "w + ahead AS w", "length", "n", *columns)
+    sent = sent.where(f"w * {WORD} < n")  # there is no word after the last
+    sent = sent.withColumn("place", F.expr("xxhash64(series_id, step, w)")).repartition(partitions, "place")
     both = sent.groupBy("place", "series_id", "step", "w").agg(
         F.max("length").alias("length"),
         F.max("n").alias("n"),
-        *[F.max(f"bits{i}").alias(f"bits{i}") for i in flips],
-        *[F.coalesce(F.max(f"halo{i}"), F.lit(0)).alias(f"halo{i}") for i in flips],
+        *[F.max(f"bits{i}").alias(f"bits{i}") for i in range(len(flips))],
+        *[F.expr(f"coalesce(max(halo{i}), 0L)").alias(f"halo{i}") for i in range(len(flips))],
     )
     versions = []
     for c in conditions:
-        i = _flips(conditions).index(c.flip_p)
-        fields = [F.lit(c.condition_id).alias("condition_id")]
-        fields += [F.col(f"{b}{i}").alias(b) for b in ("bits", "halo")]
+        i = flips.index(c.flip_p)
+        fields = [F.lit(c.condition_id).alias("condition_id"), F.expr(f"bits{i} AS bits"), F.expr(f"halo{i} AS halo")]
         versions.append(F.when(F.col("step") == c.subsample_step, F.struct(*fields)))
     rows = both.select("series_id", "w", "length", "n", F.explode(F.array(*versions)).alias("v"))
-    return rows.where("v is not null").select("series_id", "v.*", "w", "length", "n")
+    return rows.where("v IS NOT NULL").select("series_id", "v.*", "w", "length", "n")
 
 
 def positions(
@@ -128,28 +118,30 @@ def positions(
     before `y` and `z_next` that of `y`.
     """
     words = with_halo(pack_words(series, conditions, seed), conditions)
-    first = F.col("w") * WORD
-    count = F.least(F.lit(WORD).cast("long"), F.col("n") - first)
-    rows = words.select(
+    rows = words.selectExpr(
         "*",
-        split_position(F.col("n"), train_frac).alias("split"),
-        F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("i"),
-    )
-    rows = rows.withColumn("t", first + F.col("i")).withColumn("test", F.col("t") >= F.col("split"))
-    rows = rows.withColumns(
-        {
-            "lt": F.when(F.col("test"), F.col("t") - F.col("split")).otherwise(F.col("t")),
-            "n_role": F.when(F.col("test"), F.col("n") - F.col("split")).otherwise(F.col("split")),
-            "y": shift_right(F.col("bits"), WORD - 1 - F.col("i")).bitwiseAND(F.lit(1)).cast("int"),
-        }
+        f"{split_position('n', train_frac)} AS split",
+        f"w * {WORD} AS first",
+        f"explode(sequence(0, CAST(least({WORD}L, n - w * {WORD}) - 1 AS INT))) AS i",
     )
-    rows = rows.withColumn("hist_len", F.least(F.lit(k_max), F.col("lt")).cast("int"))
-    before = shift_left(F.col("halo"), F.col("i")).bitwiseOR(shift_right(F.col("bits"), WORD - F.col("i")))
-    columns = ["series_id", "condition_id", "length", "n", "t", "test", "lt", "n_role", "hist_len"]
-    columns += [low_bits(before, F.col("hist_len")).alias("hist"), "y"]
+    noise = []
     if noise_seed is not None:
-        columns += [noise_bit(noise_seed, F.col("lt") - 1).alias("z"), noise_bit(noise_seed, F.col("lt")).alias("z_next")]
-    return rows.select(*columns)
+        noise = [f"{noise_bit(noise_seed, 'lt - 1')} AS z", f"{noise_bit(noise_seed, 'lt')} AS z_next"]
+    return rows.selectExpr(
+        "series_id",
+        "condition_id",
+        "length",
+        "n",
+        "first + i AS t",
+        "first + i >= split AS test",
+        "first + i - if(test, split, 0L) AS lt",
+        "if(test, n - split, split) AS n_role",
+        f"CAST(least({k_max}L, lt) AS INT) AS hist_len",
+        # The word before, moved up by i, then the first i symbols of the word itself.
+        f"(shiftleft(halo, i) | shiftrightunsigned(bits, {WORD} - i)) & (shiftleft(1L, hist_len) - 1) AS hist",
+        f"CAST(shiftrightunsigned(bits, {WORD - 1} - i) & 1 AS INT) AS y",
+        *noise,
+    )
 
 
 def histories(
@@ -176,15 +168,18 @@ def histories(
 
 
 def _per_k(counts: DataFrame, ks: Sequence[int], noisy: bool, keep_start: bool) -> DataFrame:
-    """One copy of the counts per k whose context they determine."""
-    long_enough = [F.when(F.col("hist_len") >= k, F.lit(k)) for k in ks]
-    if keep_start:  # the very first position of a role stands for the model
-        long_enough = [F.when((F.col("hist_len") >= k) | (F.col("hist_len") == 0), F.lit(k)) for k in ks]
-    rows = counts.select("*", F.explode(F.array(*long_enough)).alias("k")).where("k is not null")
-    ctx = low_bits(F.col("hist"), F.col("k"))
+    """One copy of the counts per k whose context they determine.
+
+    With `keep_start` the first position of a role, which has no history, goes to
+    every k and stands for the model.
+    """
+    start = " OR hist_len = 0" if keep_start else ""
+    fitting = ", ".join(f"if(hist_len >= {k}{start}, {k}, NULL)" for k in ks)
+    rows = counts.selectExpr("*", f"explode(array({fitting})) AS k").where("k IS NOT NULL")
+    ctx = "hist & (shiftleft(1L, k) - 1)"
     if noisy:
-        ctx = with_noise(ctx, F.col("z"))
-    return rows.withColumn("ctx", F.when(F.col("hist_len") >= F.col("k"), ctx).otherwise(F.lit(NO_CONTEXT)))
+        ctx = f"shiftleft({ctx}, 1) | z"
+    return rows.withColumn("ctx", F.expr(f"if(hist_len >= k, {ctx}, {NO_CONTEXT}L)"))
 
 
 def gram_counts(counts: DataFrame, ks: Sequence[int], noisy: bool = False) -> DataFrame:
@@ -219,17 +214,18 @@ def contexts(
     counts = histories(series, ks[-1], conditions, train_frac, seed, noise_seed)
     rows = _per_k(counts, ks, noisy, keep_start=True)
 
-    def total(column, condition):
-        return F.coalesce(F.sum(F.when(condition & (F.col("ctx") != NO_CONTEXT), F.col(column))), F.lit(0))
+    def total(column: str, condition: str, name: str) -> Column:
+        counted = f"ctx != {NO_CONTEXT} AND {condition}"
+        return F.expr(f"coalesce(sum({column}) FILTER (WHERE {counted}), 0L)").alias(name)
 
-    y, test = F.col("y"), F.col("test")
     sums = [F.max("length").alias("length")]
-    for v in (0, 1):
-        sums.append(total("n_fit", ~test & (y == v)).alias(f"n{v}"))
-        sums.append(total("n_fit", test & (y == v)).alias(f"m{v}"))
-        for z in (0, 1) if noisy else (None,):
-            to_z = F.lit(True) if z is None else F.col("z_next") == z
-            sums.append(total("n_trans", ~test & (y == v) & to_z).alias(f"c{v}" if z is None else f"c{v}{z}"))
+    for y in (0, 1):
+        sums.append(total("n_fit", f"NOT test AND y = {y}", f"n{y}"))
+        sums.append(total("n_fit", f"test AND y = {y}", f"m{y}"))
+        if noisy:
+            sums += [total("n_trans", f"NOT test AND y = {y} AND z_next = {z}", f"c{y}{z}") for z in (0, 1)]
+        else:
+            sums.append(total("n_trans", f"NOT test AND y = {y}", f"c{y}"))
     return rows.groupBy(*MODEL, "ctx").agg(*sums)
 
 

@@ -25,17 +25,13 @@ def _no_negative_zero(value: Column) -> Column:
 def _state_losses(fitted: DataFrame, backoff_p: float) -> DataFrame:
     """Per state (NULL: unseen contexts): test loss in nats and number of targets."""
     per_state = fitted.groupBy(*MODEL, "state").agg(
-        F.max("length").alias("length"),
-        (F.sum("n1") / F.nullif(F.sum(F.col("n0") + F.col("n1")), F.lit(0))).alias("p_one"),
-        F.sum("m0").alias("m0"),
-        F.sum("m1").alias("m1"),
+        F.expr("max(length) AS length"),
+        F.expr(f"coalesce(sum(n1) / nullif(sum(n0 + n1), 0), {float(backoff_p)!r}D) AS p_one"),
+        F.expr("sum(m0) AS m0"),
+        F.expr("sum(m1) AS m1"),
     )
-    p_one = F.coalesce("p_one", F.lit(float(backoff_p)))
-    loss = -(
-        F.col("m1") * F.ln(F.greatest(p_one, F.lit(MIN_P)))
-        + F.col("m0") * F.ln(F.greatest(F.lit(1.0) - p_one, F.lit(MIN_P)))
-    )
-    return per_state.withColumn("loss", loss)
+    loss = f"-(m1 * ln(greatest(p_one, {MIN_P!r}D)) + m0 * ln(greatest(1 - p_one, {MIN_P!r}D)))"
+    return per_state.withColumn("loss", F.expr(loss))
 
 
 def prediction_scores(fitted: DataFrame, backoff_p: float = BACKOFF_P) -> DataFrame:
@@ -43,12 +39,10 @@ def prediction_scores(fitted: DataFrame, backoff_p: float = BACKOFF_P) -> DataFr
 
     Log-loss is the mean over test positions in nats, 0 when there are none.
     """
-    targets = F.sum(F.col("m0") + F.col("m1"))
-    logloss = F.when(targets > 0, F.sum("loss") / targets).otherwise(F.lit(0.0))
     return _state_losses(fitted, backoff_p).groupBy(*MODEL).agg(
-        F.max("length").alias("length"),
-        _no_negative_zero(logloss).alias("logloss"),
-        F.count("state").cast("int").alias("n_states"),
+        F.expr("max(length) AS length"),
+        F.expr("coalesce(sum(loss) / nullif(sum(m0 + m1), 0), 0D) + 0D AS logloss"),
+        F.expr("CAST(count(state) AS INT) AS n_states"),
     )
 
 
@@ -120,20 +114,10 @@ def closure_scores(edges: DataFrame) -> DataFrame:
     One aggregation chain for all three.  Occupancy is the visits of a state over
     all its symbols, and with V visits in total its entropy is ln V - sum(v ln v)/V.
     """
-    per_state = (
-        _per_state_symbol(edges)
-        .groupBy(*MODEL, "state")
-        .agg(
-            F.sum("w").alias("v"),
-            F.sum(F.col("w") * F.col("u")).alias("wu"),
-            F.sum(F.col("w") * F.col("h")).alias("wh"),
-        )
-    )
-    v, total = F.col("v"), F.sum("v")
-    complexity = F.greatest(F.lit(0.0), F.ln(total) - F.sum(v * F.ln(v)) / total)
-    unifilarity_score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum("wu") / total))
+    per_state = _per_state_symbol(edges).groupBy(*MODEL, "state")
+    per_state = per_state.agg(F.expr("sum(w) AS v"), F.expr("sum(w * u) AS wu"), F.expr("sum(w * h) AS wh"))
     return per_state.groupBy(*MODEL).agg(
-        _no_negative_zero(complexity).alias("C_mu_empirical"),
-        unifilarity_score.alias("unifilarity_score"),
-        _no_negative_zero(F.sum("wh") / total / F.lit(math.log(2.0))).alias("branch_entropy"),
+        F.expr("greatest(0D, ln(sum(v)) - sum(v * ln(v)) / sum(v)) + 0D AS C_mu_empirical"),
+        F.expr("greatest(0D, least(1D, sum(wu) / sum(v))) AS unifilarity_score"),
+        F.expr("sum(wh) / sum(v) / ln(2D) + 0D AS branch_entropy"),
     )

@@ -7,22 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstates.functions.draws import flip_draw, noise_bit
 from seqstates.conditions import Condition, validate_sweep
-
-
-def flipped(x: Column, draw: Column, flip_p: float) -> Column:
-    return x.bitwiseXOR((draw < F.lit(float(flip_p))).cast("int"))
+from seqstates.functions.draws import flip_draw, flipped, noise_bit
 
 
 def flip_noise(series: DataFrame, flip_p: float, seed: int = 0) -> DataFrame:
     """Flip each symbol with probability `flip_p`; latent labels stay."""
     validate_sweep([flip_p], [])
-    draw = flip_draw(seed, F.col("series_id"), F.col("t"))
-    return series.withColumn("x", flipped(F.col("x"), draw, flip_p))
+    drawn = series.withColumn("draw", F.expr(flip_draw(seed)))
+    return drawn.withColumn("x", F.expr(flipped(flip_p))).drop("draw")
 
 
 def subsample(series: DataFrame, step: int) -> DataFrame:
@@ -47,23 +43,21 @@ def perturb(series: DataFrame, condition: Condition, seed: int = 0) -> DataFrame
 
 def perturb_grid(series: DataFrame, conditions: Sequence[Condition], seed: int = 0) -> DataFrame:
     """Rows of every condition, keyed by `condition_id`, from one pass over the series."""
-    draw = flip_draw(seed, F.col("series_id"), F.col("t"))
     if any(c.flip_p > 0 for c in conditions):
-        series = series.withColumn("draw", draw)
+        series = series.withColumn("draw", F.expr(flip_draw(seed)))
     versions = []
     for c in conditions:
         step = int(c.subsample_step)
-        x = flipped(F.col("x"), F.col("draw"), c.flip_p) if c.flip_p > 0 else F.col("x")
         fields = [
             F.lit(c.condition_id).alias("condition_id"),
-            F.expr(f"t div {step}").alias("t"),
-            x.alias("x"),
-            F.expr(f"(length + {step - 1}) div {step}").alias("length"),
+            F.expr(f"t div {step} AS t"),
+            F.expr(f"{flipped(c.flip_p) if c.flip_p > 0 else 'x'} AS x"),
+            F.expr(f"(length + {step - 1}) div {step} AS length"),
         ]
         versions.append(F.when(F.col("t") % step == 0, F.struct(*fields)))
     rest = [c for c in series.columns if c not in ("series_id", "t", "x", "length", "draw")]
     rows = series.select("series_id", *rest, F.explode(F.array(*versions)).alias("v"))
-    return rows.where("v is not null").select("series_id", "v.*", *rest)
+    return rows.where("v IS NOT NULL").select("series_id", "v.*", *rest)
 
 
 def train_test_split(series: DataFrame, train_frac: float = 0.8) -> DataFrame:
@@ -72,20 +66,20 @@ def train_test_split(series: DataFrame, train_frac: float = 0.8) -> DataFrame:
     The first trunc(n * train_frac) symbols are for training, n being the length
     after perturbation.
     """
-    split = split_position(F.col("length"), train_frac)
-    train = F.col("t") < split
+    split = split_position("length", train_frac)
     return series.withColumns(
         {
-            "role": F.when(train, F.lit("train")).otherwise(F.lit("test")),
-            "lt": F.when(train, F.col("t")).otherwise(F.col("t") - split),
+            "role": F.expr(f"if(t < {split}, 'train', 'test')"),
+            "lt": F.expr(f"if(t < {split}, t, t - {split})"),
         }
     )
 
 
-def split_position(length: Column, train_frac: float) -> Column:
-    return (length.cast("double") * F.lit(float(train_frac))).cast("long")
+def split_position(length: str, train_frac: float) -> str:
+    """Number of training symbols, as SQL text: truncated in double arithmetic."""
+    return f"CAST(CAST({length} AS DOUBLE) * CAST({float(train_frac)!r} AS DOUBLE) AS BIGINT)"
 
 
 def add_noise_bit(series: DataFrame, noise_seed: int = 123, position: str = "lt") -> DataFrame:
     """Add the auxiliary bit `z` of the noisy representation."""
-    return series.withColumn("z", noise_bit(noise_seed, F.col(position)))
+    return series.withColumn("z", F.expr(noise_bit(noise_seed, position)))

@@ -107,21 +107,15 @@ def transition_counts(fitted: DataFrame) -> DataFrame:
     context, where a window hands over the state; contexts and moves are already in
     the partition of their model.
     """
-    seen = fitted.where(F.col("state").isNotNull())
-    none = F.lit(None).cast("int")
-
-    def message(ctx, own_state, state, sym, count):
-        fields = {"ctx": ctx, "own_state": own_state, "state": state, "sym": sym, "c": count}
-        return F.struct(*[v.alias(name) for name, v in fields.items()])
-
-    messages = [message(F.col("ctx"), F.col("state"), none, none, F.lit(0).cast("long"))]
+    message = "named_struct('ctx', {}, 'own_state', {}, 'state', {}, 'sym', {}, 'c', {})"
+    messages = [message.format("ctx", "state", "CAST(NULL AS INT)", "CAST(NULL AS INT)", "0L")]
     for column, y, z in _transition_columns(fitted):
-        target = successor(F.col("ctx"), F.col("k"), y, z)
-        messages.append(message(target, none, F.col("state"), F.lit(y), F.col(column)))
-    sent = seen.select(*MODEL, F.explode(F.array(*messages)).alias("m")).select(*MODEL, "m.*")
-    sent = sent.where("own_state is not null or c > 0")
+        messages.append(message.format(successor(y, z), "CAST(NULL AS INT)", "state", y, column))
+    seen = fitted.where("state IS NOT NULL")
+    sent = seen.selectExpr(*MODEL, f"inline(array({', '.join(messages)}))")
+    sent = sent.where("own_state IS NOT NULL OR c > 0")
     arrived = sent.withColumn("next_state", F.max("own_state").over(Window.partitionBy(*MODEL, "ctx")))
-    moves = arrived.where("sym is not null and next_state is not null")
+    moves = arrived.where("sym IS NOT NULL AND next_state IS NOT NULL")
     return moves.groupBy(*MODEL, "state", "sym", "next_state").agg(F.sum("c").alias("c"))
 
 

@@ -20,6 +20,8 @@ from seqstates.operators.reconstruct import (
 from seqstates.sources.scratch import materialize
 from seqstates.sources.tables import RUN_COLUMNS
 
+CLOSURE_COLUMNS = ["C_mu_empirical", "unifilarity_score", "branch_entropy"]
+
 
 def fit(
     series: DataFrame,
@@ -47,18 +49,9 @@ def fitted_edges(fitted: DataFrame) -> DataFrame:
     return transition_probs(transition_counts(fitted))
 
 
-def _by_condition(conditions: Sequence[Condition], value) -> Column:
-    """Property of the row's condition, from literals."""
-    column = None
-    for c in conditions:
-        matches = F.col("condition_id") == c.condition_id
-        column = F.when(matches, F.lit(value(c))) if column is None else column.when(matches, F.lit(value(c)))
-    return column
-
-
-def condition_lengths(series: DataFrame, conditions: Sequence[Condition], base_process: str) -> DataFrame:
-    """The grid with every series: identifiers, wrappers and symbols left per condition."""
-    fields = [
+def _condition_fields(conditions: Sequence[Condition], base_process: str) -> list[Column]:
+    """Per condition a struct of literals, with the columns it has in the runs table."""
+    return [
         F.struct(
             F.lit(base_process).alias("base_process"),
             F.lit(c.process_name(base_process)).alias("process"),
@@ -69,8 +62,13 @@ def condition_lengths(series: DataFrame, conditions: Sequence[Condition], base_p
         )
         for c in conditions
     ]
+
+
+def condition_lengths(series: DataFrame, conditions: Sequence[Condition], base_process: str) -> DataFrame:
+    """The grid with every series: identifiers, wrappers and symbols left per condition."""
     lengths = series.groupBy("series_id").agg(F.count("*").alias("length"))
-    rows = lengths.select("*", F.explode(F.array(*fields)).alias("c")).select("series_id", "length", "c.*")
+    fields = _condition_fields(conditions, base_process)
+    rows = lengths.select("*", F.inline(F.array(*fields)))
     return rows.withColumn("n_symbols", F.expr("(length + subsample_step - 1) div subsample_step"))
 
 
@@ -87,21 +85,19 @@ def run_rows(
     """Run rows of a `fit` result.  Models without transitions score 0."""
     closure = closure_scores(fitted_edges(fitted))
     scores = prediction_scores(fitted).join(closure, MODEL, "left")
-    fixed = {
-        "train_frac": F.lit(float(train_frac)),
-        "process": _by_condition(conditions, lambda c: c.process_name(base_process)),
-        "base_process": F.lit(base_process),
-        "eps": F.lit(float(eps)),
-        "flip_p": _by_condition(conditions, lambda c: c.flip_p),
-        "subsample_step": _by_condition(conditions, lambda c: c.subsample_step),
-        "wrappers": _by_condition(conditions, lambda c: c.wrappers),
-        "representation": representation_name(F.col("k"), noisy),
-        "reconstructor": F.lit(RECONSTRUCTOR_NAMES[reconstructor]),
-        "C_mu_empirical": F.coalesce("C_mu_empirical", F.lit(0.0)),
-        "unifilarity_score": F.coalesce("unifilarity_score", F.lit(0.0)),
-        "branch_entropy": F.coalesce("branch_entropy", F.lit(0.0)),
-    }
-    return scores.withColumns(fixed).select(*RUN_COLUMNS)
+    ids = [F.lit(c.condition_id) for c in conditions]
+    fields = _condition_fields(conditions, base_process)
+    by_id = F.create_map(*[part for pair in zip(ids, fields) for part in pair])
+    scores = scores.withColumn("condition", by_id[F.col("condition_id")]).drop("condition_id")
+    rows = scores.select(
+        "*",
+        "condition.*",
+        F.lit(float(train_frac)).alias("train_frac"),
+        F.lit(float(eps)).alias("eps"),
+        representation_name(F.col("k"), noisy).alias("representation"),
+        F.lit(RECONSTRUCTOR_NAMES[reconstructor]).alias("reconstructor"),
+    )
+    return rows.fillna(0.0, CLOSURE_COLUMNS).select(*RUN_COLUMNS)
 
 
 def sweep_runs(

@@ -8,12 +8,27 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-RUN_SCHEMA = T.StructType.fromDDL(
-    "series_id STRING, length BIGINT, train_frac DOUBLE, process STRING, base_process STRING, eps DOUBLE, "
-    "flip_p DOUBLE, subsample_step INT, wrappers STRING, condition_id STRING, representation STRING, k INT, "
-    "reconstructor STRING, logloss DOUBLE, n_states INT, C_mu_empirical DOUBLE, unifilarity_score DOUBLE, "
-    "branch_entropy DOUBLE"
-)
+_RUN_TYPES = {
+    "series_id": T.StringType(),
+    "length": T.LongType(),
+    "train_frac": T.DoubleType(),
+    "process": T.StringType(),
+    "base_process": T.StringType(),
+    "eps": T.DoubleType(),
+    "flip_p": T.DoubleType(),
+    "subsample_step": T.IntegerType(),
+    "wrappers": T.StringType(),
+    "condition_id": T.StringType(),
+    "representation": T.StringType(),
+    "k": T.IntegerType(),
+    "reconstructor": T.StringType(),
+    "logloss": T.DoubleType(),
+    "n_states": T.IntegerType(),
+    "C_mu_empirical": T.DoubleType(),
+    "unifilarity_score": T.DoubleType(),
+    "branch_entropy": T.DoubleType(),
+}
+RUN_SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in _RUN_TYPES.items()])
 RUN_COLUMNS = RUN_SCHEMA.names
 
 SUMMARY_KEYS = [
