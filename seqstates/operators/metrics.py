@@ -1,7 +1,8 @@
 """Scores of a machine for prediction, complexity and closure.
 
-`prediction_scores` reads the fitted contexts, `closure_scores` the edges; both
-give one row per model.
+Log-loss and state count come from the fitted contexts, complexity from the
+occupancy and closure from the edges; `run_scores` has all of them from the fitted
+contexts in one go.  All give one row per model.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqstates.operators.grams import MODEL
+from seqstates.operators.reconstruct import transition_rows
 
 BACKOFF_P = 0.5  # probability for a test context never seen in training
 MIN_P = 1e-12  # clip of predicted probabilities
 MIN_PI = 1e-18  # clip of occupancies
+LOSS = f"-(m1 * ln(greatest(p_one, {MIN_P!r}D)) + m0 * ln(greatest(1 - p_one, {MIN_P!r}D)))"
 
 
 def _no_negative_zero(value: Column) -> Column:
@@ -30,8 +33,7 @@ def _state_losses(fitted: DataFrame, backoff_p: float) -> DataFrame:
         F.expr("sum(m0) AS m0"),
         F.expr("sum(m1) AS m1"),
     )
-    loss = f"-(m1 * ln(greatest(p_one, {MIN_P!r}D)) + m0 * ln(greatest(1 - p_one, {MIN_P!r}D)))"
-    return per_state.withColumn("loss", F.expr(loss))
+    return per_state.withColumn("loss", F.expr(LOSS))
 
 
 def prediction_scores(fitted: DataFrame, backoff_p: float = BACKOFF_P) -> DataFrame:
@@ -108,16 +110,35 @@ def branching_entropy_weighted(edges: DataFrame, log_base: float = math.e) -> Da
     return _per_state_symbol(edges).groupBy(*MODEL).agg(_no_negative_zero(mean).alias("branch_entropy"))
 
 
-def closure_scores(edges: DataFrame) -> DataFrame:
-    """(C_mu_empirical, unifilarity_score, branch_entropy in bits) of models with edges.
+def run_scores(fitted: DataFrame) -> DataFrame:
+    """All scores of a run row, for every model, in one chain of aggregations.
 
-    One aggregation chain for all three.  Occupancy is the visits of a state over
-    all its symbols, and with V visits in total its entropy is ln V - sum(v ln v)/V.
+    Context rows and moves travel together, so the contexts are read once and no two
+    results have to be joined.  With w visits of a (state, symbol), of which c go to
+    a next state, the entropy of the next state is ln w - sum(c ln c) / w; likewise
+    for the occupancy of the states.  Models without transitions score 0.
     """
-    per_state = _per_state_symbol(edges).groupBy(*MODEL, "state")
-    per_state = per_state.agg(F.expr("sum(w) AS v"), F.expr("sum(w * u) AS wu"), F.expr("sum(w * h) AS wh"))
-    return per_state.groupBy(*MODEL).agg(
-        F.expr("greatest(0D, ln(sum(v)) - sum(v * ln(v)) / sum(v)) + 0D AS C_mu_empirical"),
-        F.expr("greatest(0D, least(1D, sum(wu) / sum(v))) AS unifilarity_score"),
-        F.expr("sum(wh) / sum(v) / ln(2D) + 0D AS branch_entropy"),
+    counts = ["length", "n0", "n1", "m0", "m1"]
+    carried = [F.expr("max(length) AS length"), *[F.sum(c).alias(c) for c in counts[1:]]]
+    rows = transition_rows(fitted, counts).where("sym IS NULL OR next_state IS NOT NULL")
+    target = F.expr("if(sym IS NULL, NULL, next_state)").alias("next_state")
+    rows = rows.groupBy(*MODEL, "state", "sym", target).agg(F.sum("c").alias("c"), *carried)
+    rows = rows.groupBy(*MODEL, "state", "sym").agg(
+        F.expr("sum(c) AS w"),
+        F.expr("max(c) AS wu"),
+        F.expr("if(count(*) > 1, sum(c) * ln(sum(c)) - sum(c * ln(c)), 0D) AS wh"),
+        *carried,
+    )
+    rows = rows.groupBy(*MODEL, "state").agg(
+        F.expr("sum(w) AS v"), F.expr("sum(wu) AS wu"), F.expr("sum(wh) AS wh"), *carried
+    )
+    rows = rows.withColumn("p_one", F.expr(f"coalesce(n1 / nullif(n0 + n1, 0), {BACKOFF_P!r}D)"))
+    visited = "nullif(sum(v), 0)"
+    return rows.groupBy(*MODEL).agg(
+        F.expr("max(length) AS length"),
+        F.expr(f"coalesce(sum({LOSS}) / nullif(sum(m0 + m1), 0), 0D) + 0D AS logloss"),
+        F.expr("CAST(count(state) AS INT) AS n_states"),
+        F.expr(f"greatest(0D, coalesce(ln({visited}) - sum(if(v > 0, v * ln(v), 0D)) / {visited}, 0D)) AS C_mu_empirical"),
+        F.expr(f"least(1D, coalesce(sum(wu) / {visited}, 0D)) AS unifilarity_score"),
+        F.expr(f"coalesce(sum(wh) / {visited} / ln(2D), 0D) + 0D AS branch_entropy"),
     )

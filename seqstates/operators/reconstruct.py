@@ -10,6 +10,8 @@ at most 2^k contexts (2^(k+1) noisy ones), however long its series.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,23 +101,28 @@ def state_probabilities(fitted: DataFrame) -> DataFrame:
     return seen.groupBy(*MODEL, "state").agg((n1 / n).alias("p_one"), n.alias("n"))
 
 
-def transition_counts(fitted: DataFrame) -> DataFrame:
-    """Visits `c` of (state, symbol, next state).
+def transition_rows(fitted: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows of (state, sym, next_state, c), and one row per context with `sym` NULL.
 
     The next context follows from the context and the symbol, so the counts of the
     contexts are enough.  Its state is found by sending each move to the next
     context, where a window hands over the state; contexts and moves are already in
-    the partition of their model.
+    the partition of their model.  The rows of the contexts keep the columns in
+    `carry`, which are NULL for moves.
     """
-    message = "named_struct('ctx', {}, 'own_state', {}, 'state', {}, 'sym', {}, 'c', {})"
-    messages = [message.format("ctx", "state", "CAST(NULL AS INT)", "CAST(NULL AS INT)", "0L")]
+    names = ["ctx", "own_state", "state", "sym", "c", *carry]
+    message = "named_struct(" + ", ".join(f"'{name}', {{}}" for name in names) + ")"
+    no_int, no_count = "CAST(NULL AS INT)", ["CAST(NULL AS BIGINT)"] * len(carry)
+    messages = [message.format("ctx", "state", "state", no_int, "0L", *carry)]
     for column, y, z in _transition_columns(fitted):
-        messages.append(message.format(successor(y, z), "CAST(NULL AS INT)", "state", y, column))
-    seen = fitted.where("state IS NOT NULL")
-    sent = seen.selectExpr(*MODEL, f"inline(array({', '.join(messages)}))")
-    sent = sent.where("own_state IS NOT NULL OR c > 0")
-    arrived = sent.withColumn("next_state", F.max("own_state").over(Window.partitionBy(*MODEL, "ctx")))
-    moves = arrived.where("sym IS NOT NULL AND next_state IS NOT NULL")
+        messages.append(message.format(successor(y, z), no_int, "state", y, column, *no_count))
+    sent = fitted.selectExpr(*MODEL, f"inline(array({', '.join(messages)}))").where("sym IS NULL OR c > 0")
+    return sent.withColumn("next_state", F.max("own_state").over(Window.partitionBy(*MODEL, "ctx")))
+
+
+def transition_counts(fitted: DataFrame) -> DataFrame:
+    """Visits `c` of (state, symbol, next state)."""
+    moves = transition_rows(fitted.where("state IS NOT NULL")).where("sym IS NOT NULL AND next_state IS NOT NULL")
     return moves.groupBy(*MODEL, "state", "sym", "next_state").agg(F.sum("c").alias("c"))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from seqstates.conditions import Condition
 from seqstates.functions.text import representation_name
-from seqstates.operators.grams import MODEL, PLAIN, contexts
-from seqstates.operators.metrics import closure_scores, prediction_scores
+from seqstates.operators.grams import PLAIN, contexts
+from seqstates.operators.metrics import run_scores
 from seqstates.operators.reconstruct import (
     RECONSTRUCTOR_NAMES,
     RECONSTRUCTORS,
@@ -20,8 +20,6 @@ from seqstates.operators.reconstruct import (
 from seqstates.sources.scratch import materialize
 from seqstates.sources.tables import RUN_COLUMNS
 
-CLOSURE_COLUMNS = ["C_mu_empirical", "unifilarity_score", "branch_entropy"]
-
 
 def fit(
     series: DataFrame,
@@ -82,9 +80,8 @@ def run_rows(
     noisy: bool = False,
     reconstructor: str = "one_step",
 ) -> DataFrame:
-    """Run rows of a `fit` result.  Models without transitions score 0."""
-    closure = closure_scores(fitted_edges(fitted))
-    scores = prediction_scores(fitted).join(closure, MODEL, "left")
+    """Run rows of a `fit` result, with one row for every model, however short its series."""
+    scores = run_scores(fitted)
     ids = [F.lit(c.condition_id) for c in conditions]
     fields = _condition_fields(conditions, base_process)
     by_id = F.create_map(*[part for pair in zip(ids, fields) for part in pair])
@@ -97,7 +94,7 @@ def run_rows(
         representation_name(F.col("k"), noisy).alias("representation"),
         F.lit(RECONSTRUCTOR_NAMES[reconstructor]).alias("reconstructor"),
     )
-    return rows.fillna(0.0, CLOSURE_COLUMNS).select(*RUN_COLUMNS)
+    return rows.select(*RUN_COLUMNS)
 
 
 def sweep_runs(

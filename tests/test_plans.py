@@ -31,5 +31,5 @@ def test_model_tables_shuffle_only_by_model(long_series):
     counted = materialize(contexts(long_series, [1, 2]), "contexts")
     text = plan(run_rows(assign_states(counted), PLAIN, base_process="p"))
     shuffles = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
-    assert len(shuffles) == 4 and all("REPARTITION_BY_COL" in line for line in shuffles)
+    assert len(shuffles) == 2 and all("REPARTITION_BY_COL" in line for line in shuffles)
     assert "Python" not in text and "Cartesian" not in text
