@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from seqstates.functions.text import representation_name
+
 _RUN_TYPES = {
     "series_id": T.StringType(),
     "length": T.LongType(),
@@ -97,16 +99,16 @@ def save_edges(
     path: str,
     fmt: str = "json",
     representation: str | None = None,
+    noisy: bool = False,
     force: bool = False,
 ) -> None:
     """Edges of all models, or of one representation, in a folder per condition and k."""
-    from seqstates.operators.machine import edges_for_representation
-
-    named = edges if "representation" in edges.columns else edges_for_representation(edges)
+    if "representation" not in edges.columns:
+        edges = edges.withColumn("representation", representation_name(edges["k"], noisy))
     if representation is not None:
-        named = named.where(named["representation"] == representation)
+        edges = edges.where(edges["representation"] == representation)
     mode = "overwrite" if force else "errorifexists"
-    _write(named, path, fmt, mode, ["condition_id", "k"])
+    _write(edges, path, fmt, mode, ["condition_id", "k"])
 
 
 def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType, required: Iterable[str]) -> DataFrame:
