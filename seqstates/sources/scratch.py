@@ -9,8 +9,6 @@ on the physical layout (see `series.range_index`) stay fixed.
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,25 +17,19 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 500_000
 SALTS = 64
 
-_local_root: str | None = None
-_written: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables; a temporary one only on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="seqstates-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return _local_root
+    """Folder for intermediate tables that driver and executors share.
+
+    `spark.checkpoint.dir`, else the checkpoint directory of the context, else a folder
+    of this application in the warehouse, which is on the session's file system.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{spark.sparkContext.applicationId}"
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -48,7 +40,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("parquet.writer.version", "v2").parquet(path)
-    _written.append(path)
+    if not _written:
+        atexit.register(_drop_at_exit)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,11 +71,26 @@ def sized_join(
     return salted.join(repeated, [*keys, "salt"]).drop("salt")
 
 
-def drop_materialized(spark: SparkSession) -> int:
-    """Delete every table written by `materialize` in this process; return how many."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+def drop_materialized(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables written by `materialize` in this process; return how many.
+
+    `since` is a former `written_count`: only what was written after it goes.
+    """
     dropped = 0
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        dropped += bool(path.getFileSystem(hadoop).delete(path, True))
+    while len(_written) > since:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop()[1])
+        dropped += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return dropped
+
+
+def written_count() -> int:
+    return len(_written)
+
+
+def _drop_at_exit() -> None:
+    """Best effort: the session may be gone already."""
+    try:
+        if _written and _written[-1][0].sparkContext._jsc is not None:
+            drop_materialized(_written[-1][0])
+    except Exception:  # noqa: BLE001  the interpreter is ending
+        pass
