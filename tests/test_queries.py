@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as spark_entry
 from compare import connect, differences
+from seqstates.catalog import oracle
+from seqstates.catalog import queries as catalog
 
-ORACLE = spark_entry.oracle_sql()
-QUERIES = spark_entry.queries()
+ORACLE = oracle.oracle_sql()
+QUERIES = catalog.queries()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,8 @@ def duck(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(spark_entry.queries())
+    assert set(ORACLE) <= set(spark_entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
