@@ -4,11 +4,13 @@
    `BANDS * ROWS` slots and one key per band (`document_sets`).  Documents with equal
    sets form a class; only its smallest id goes on.
 2. Classes with an equal band key are candidates.  At a similarity of 0.75 a pair
-   misses all 56 bands of 5 slots with a probability of 3e-7.
+   shares fewer than two of the 64 bands of 5 slots with a probability of 6e-7.
 3. First each class is checked against one other, the smallest id of the bucket it
-   shares most often, which settles groups of copies with one check per copy.  Then the
-   pairs of a bucket that are still in different components are checked.  Pairs whose
-   set sizes exclude a link are left out.
+   shares most often, which settles groups of copies with one check per copy.  Then
+   buckets that still hold different components are split by every other band, and
+   pairs from different components that share two bands are checked.  So texts with
+   one passage in common do not meet in pairs.  Pairs whose set sizes exclude a link
+   are left out.
 4. Links are confirmed on the full shingle sets of both texts, and `connected_components`
    turns them into groups.
 
@@ -32,7 +34,7 @@ from seqstates.llm.common import connected_components, materialize, mix64
 
 WORDS = 5
 THRESHOLD = 75  # per cent
-ROWS, BANDS = 5, 56
+ROWS, BANDS = 5, 64
 CHUNK = 60_000  # shingles whose permutations are held at once
 _NONE = np.uint64(2**64 - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -181,13 +183,20 @@ def _sizes_allow(small: str, large: str) -> str:
     return f"100 * least({small}, {large}) >= {THRESHOLD} * greatest({small}, {large})"
 
 
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys that occur in more than one component."""
+    mixed = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    return rows.join(materialize(mixed.select(key), "mixed"), key)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sets = materialize(document_sets(docs, id_col, text_col), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-    keys = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    reps = materialize(reps.select("doc_id", "n_shingles", "bands"), "reps")
+    keys = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     first = F.min(F.struct("doc_id", "n"))
     buckets = keys.groupBy("key").agg(first.alias("first"), F.max("doc_id").alias("last"))
     buckets = buckets.where("first.doc_id != last").select("key", F.col("first.doc_id").alias("center"), F.col("first.n").alias("center_n"))
@@ -203,10 +212,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(connected_components(links), "groups")
 
     grouped = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    grouped = grouped.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    grouped = grouped.select("key", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     grouped = materialize(grouped, "grouped")
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    apart = materialize(grouped.join(materialize(mixed.select("key"), "mixed"), "key"), "apart")
+    apart = _mixed(grouped, "key").join(reps.select("doc_id", "bands"), "doc_id")
+    split = apart.selectExpr("key AS first_key", "doc_id", "n", "component", "posexplode(slice(bands, band + 2, size(bands))) AS (place, second)")
+    split = materialize(split.selectExpr("xxhash64(first_key, place, second) AS key", "doc_id", "n", "component"), "split")
+    apart = materialize(_mixed(split, "key"), "apart")
     x, y = apart.alias("x"), apart.alias("y")
     open_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & F.expr(_sizes_allow("x.n", "y.n")))
     open_pairs = open_pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
