@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstates.llm import minhash
+from seqstates.llm import bpe, minhash
 from seqstates.llm.common import table
 
 
@@ -14,5 +14,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_duplicates": op1_near_duplicates}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op4_bpe": op4_bpe,
+}
 ORACLE: dict[str, str] = {"op1_near_duplicates": minhash.ORACLE}
