@@ -56,6 +56,7 @@ _CONTROLS = regex.compile("[\x1C-\x1F]")  # blanks to Python only
 _LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {
     0x10D50 + i: 0x10D70 + i for i in range(22)
 }
+_ODD_CASE = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
 
 
 def word_pattern() -> regex.Pattern:
@@ -206,7 +207,7 @@ def normalised(text: str) -> str:
     Blanks need no folding, as no word holds any.
     """
     text = unicodedata.normalize("NFC", text)
-    return (text if text.isascii() else text.translate(_LOWER)).lower()
+    return (text if text.isascii() or _ODD_CASE.search(text) is None else text.translate(_LOWER)).lower()
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
