@@ -34,7 +34,7 @@ from seqstates.llm.common import crc_fold, materialize
 SAMPLE_BUCKETS, SAMPLE_PER_BUCKET = 64, 24
 ROUNDS = 3
 MAX_WORD = 32
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 SMOOTHING = 0.1
 UNSEEN = 1e-6  # probability of a letter that is no piece
 UNDETERMINED = "und"
@@ -66,22 +66,31 @@ def words(text: str | None) -> list[str]:
     return [w[i : i + MAX_WORD] for w in marked for i in range(0, len(w), MAX_WORD)]
 
 
-def cuts(word: str, model: Model, longest: int, unseen: list[float]) -> list[tuple[int, int, list[float]]]:
+def tree(model: Model) -> dict[str, list[float]]:
+    """The pieces with their probabilities, and all beginnings of pieces with none."""
+    grown: dict[str, list[float]] = {p[:i]: [] for p in model for i in range(1, len(p))}
+    grown.update(model)
+    return grown
+
+
+def cuts(word: str, grown: dict[str, list[float]], unseen: list[float]) -> list[tuple[int, int, list[float]]]:
     """(from, to, probabilities) of every piece that occurs in a word; each letter is one at least."""
     found = []
-    for end in range(1, len(word) + 1):
-        for begin in range(max(0, end - longest), end):
-            p = model.get(word[begin:end])
-            if p is None and begin == end - 1:
-                p = unseen
-            if p is not None:
+    known, size = grown.get, len(word)
+    for begin in range(size):
+        found.append((begin, begin + 1, known(word[begin]) or unseen))
+        for end in range(begin + 2, size + 1):
+            p = known(word[begin:end])
+            if p is None:
+                break
+            if p:
                 found.append((begin, end, p))
     return found
 
 
-def forward(word: str, model: Model, longest: int, languages: int) -> list[float]:
+def forward(word: str, grown: dict[str, list[float]], languages: int) -> list[float]:
     """Log probability of a word per language, summed over all its segmentations."""
-    reached = cuts(word, model, longest, [UNSEEN] * languages)
+    reached = cuts(word, grown, [UNSEEN] * languages)
     logs = []
     for k in range(languages):
         alpha = [1.0] + [0.0] * len(word)
@@ -91,10 +100,9 @@ def forward(word: str, model: Model, longest: int, languages: int) -> list[float
     return logs
 
 
-def expected_pieces(word: str, model: Model, longest: int, k: int) -> list[tuple[str, float]]:
+def expected_pieces(word: str, grown: dict[str, list[float]], k: int) -> list[tuple[str, float]]:
     """Expected uses of every piece in a word, under language k."""
-    languages = len(next(iter(model.values())))
-    reached = cuts(word, model, longest, [UNSEEN] * languages)
+    reached = cuts(word, grown, [UNSEEN] * (k + 1))
     alpha = [1.0] + [0.0] * len(word)
     for begin, end, p in reached:
         alpha[end] += alpha[begin] * p[k]
@@ -136,20 +144,20 @@ def fit(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     languages = [r.lang for r in found.select("lang").distinct().orderBy("lang").collect()]
     known = pieces(vocabulary or default_vocabulary())
     model: Model = {p: [1.0 / len(known)] * len(languages) for p in known}
-    longest = max(map(len, known))
     for _ in range(ROUNDS if languages else 0):
-        model = _round(found, languages, model, longest)
+        model = _round(found, languages, model)
     return languages, model
 
 
-def _round(found: DataFrame, languages: list[str], model: Model, longest: int) -> Model:
+def _round(found: DataFrame, languages: list[str], model: Model) -> Model:
     place = {lang: k for k, lang in enumerate(languages)}
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[str, str], float] = {}
+        grown = tree(model)
         for batch in batches:
             for lang, word, c in zip(*(column.to_pylist() for column in batch.columns)):
-                for piece, share in expected_pieces(word, model, longest, place[lang]):
+                for piece, share in expected_pieces(word, grown, place[lang]):
                     if piece in model:
                         totals[lang, piece] = totals.get((lang, piece), 0.0) + c * share
         columns = [pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.string())]
@@ -166,11 +174,11 @@ def _round(found: DataFrame, languages: list[str], model: Model, longest: int) -
 
 def predict(docs: DataFrame, languages: list[str], model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; the score is the posterior of the prediction."""
-    longest = max(map(len, model), default=1)
     count = len(languages)
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[str, int] = {}
+        grown = tree(model)
         vectors = np.zeros((CACHE_WORDS, max(count, 1)))
 
         def total(text: str | None) -> np.ndarray | None:
@@ -183,7 +191,7 @@ def predict(docs: DataFrame, languages: list[str], model: Model, id_col: str = "
                 if len(place) + len(part) > CACHE_WORDS:
                     place.clear()
                 for w in set(part).difference(place):
-                    vectors[len(place)] = forward(w, model, longest, count)
+                    vectors[len(place)] = forward(w, grown, count)
                     place[w] = len(place)
                 score += vectors[[place[w] for w in part]].sum(axis=0)
             return score

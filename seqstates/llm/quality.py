@@ -63,17 +63,17 @@ class Features:
         """Slots of all n-grams of a text, a bounded number of tokens at a time."""
         tokens = _TOKEN.findall(text or "")
         for begin in range(0, len(tokens), BLOCK):
-            part = tokens[max(0, begin - 2) : begin + BLOCK]
+            lead = min(begin, 3)
+            part = tokens[begin - lead : begin + BLOCK]
             known = self.known.get
             pairs = np.array([known(t) or self.token(t) for t in part], np.uint64)
             own, form = pairs[:, 0], pairs[:, 1].copy()
             form[1:] += (own[1:] == own[:-1]).astype(np.uint64) << np.uint64(33)
-            first = min(begin, 2)
-            grams = [own[first:]]
+            grams = [own[lead:]]
             if len(own) > 1:
-                grams.append((mix64(own[:-1] + np.uint64(1 << 40)) + own[1:])[max(0, first - 1) :])
+                grams.append((mix64(own[:-1] + np.uint64(1 << 40)) + own[1:])[max(0, lead - 1) :])
             if len(own) > 2:
-                grams.append(mix64(mix64(form[:-2] + np.uint64(1 << 41)) + form[1:-1]) + form[2:])
+                grams.append((mix64(mix64(form[:-2] + np.uint64(1 << 41)) + form[1:-1]) + form[2:])[max(0, lead - 2) :])
             yield (mix64(np.concatenate(grams)) % np.uint64(SLOTS - 1)).astype(np.int64) + 1
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstates.llm import bpe, langid, minhash, quality
+from seqstates.llm import bpe, langid, lzprint, minhash, quality, ring
 from seqstates.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_lz_fingerprints": op2_lz_fingerprints,
+    "op3_shards": op3_shards,
     "op4_bpe": op4_bpe,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
