@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstates.llm import bpe, langid, lzprint, minhash, quality, ring
+from seqstates.llm import bpe, langid, lzprint, minhash, pii, quality, ring
 from seqstates.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lz_fingerprints": op2_lz_fingerprints,
     "op3_shards": op3_shards,
     "op4_bpe": op4_bpe,
+    "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
 }
