@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstates.llm import bpe, langid, lzprint, minhash, pii, quality, ring
+from seqstates.llm import bpe, langid, lines, lzprint, minhash, pii, quality, ring, templates
 from seqstates.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lz_fingerprints": op2_lz_fingerprints,
     "op3_shards": op3_shards,
     "op4_bpe": op4_bpe,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
 }
-ORACLE: dict[str, str] = {"op1_near_duplicates": minhash.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_near_duplicates": minhash.ORACLE,
+    "op5_line_dedup": lines.ORACLE,
+    "op7_benchmark_leaks": templates.ORACLE,
+}
