@@ -1,15 +1,67 @@
-"""Corpus preparation in stages: every stage takes all that the one before kept."""
+"""Corpus preparation in stages: every stage takes all that the one before kept.
+
+All stages but the last return the columns of `documents`.  NULL and empty texts have no
+letters and go in the first stage; the operators' docstrings say what holds for other odd
+rows.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqstates.llm import bpe, langid, lines, minhash, templates
+from seqstates.llm.common import materialize, table
+
+LEAST_SCORE = 0.5  # of the predicted language
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is not settled, go."""
+    named = langid.identify(docs)
+    kept = named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    kept = materialize(kept.select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").where(F.col("text").rlike(r"\p{L}"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document of which no line stays goes with them."""
+    cut = lines.dedupe_lines(docs).where("n_kept > 0 OR n_lines = 0")
+    changed = F.col("n_kept") < F.col("n_lines")
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group stays."""
+    dropped = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = materialize(dropped, "dropped")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return templates.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
+    return bpe.encoded_digests(docs)
+
 
-STAGES = []
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", keep_known_language),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("bpe", encode),
+]
+ORACLE_SQL = None  # SQL cannot express the language model or the tokenizer
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over `documents`, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstates.llm import bpe, langid, lines, lzprint, minhash, pii, quality, ring, templates
+from seqstates.llm import bpe, langid, lines, lzprint, minhash, pii, quality, ring, templates, warc
 from seqstates.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shards": op3_shards,
     "op4_bpe": op4_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
