@@ -5,8 +5,10 @@
    sets form a class; only its smallest id goes on.
 2. Classes with an equal band key are candidates.  At a similarity of 0.75 a pair
    shares fewer than two of the 64 bands of 5 slots with a probability of 6e-7.
-3. First each class is checked against one other, the smallest id of the bucket it
-   shares most often, which settles groups of copies with one check per copy.  Then
+3. First each class is checked against one other: every bucket names the member that
+   meets the most others over all its buckets, which is the original in a group of its
+   copies, and a class takes the one that most of its buckets name.  That settles groups
+   of copies with one check per copy.  Then
    buckets that still hold different components are split by every other band, and
    pairs from different components that share two bands are checked.  So texts with
    one passage in common do not meet in pairs.  Pairs whose set sizes exclude a link
@@ -197,10 +199,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     reps = materialize(reps.select("doc_id", "n_shingles", "bands"), "reps")
     keys = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    first = F.min(F.struct("doc_id", "n"))
-    buckets = keys.groupBy("key").agg(first.alias("first"), F.max("doc_id").alias("last"))
-    buckets = buckets.where("first.doc_id != last").select("key", F.col("first.doc_id").alias("center"), F.col("first.n").alias("center_n"))
-    members = materialize(keys.join(materialize(buckets, "buckets"), "key"), "members")
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
+    buckets = materialize(buckets.where("lo != hi").select("key", "c"), "buckets")
+    members = materialize(keys.join(buckets, "key"), "met")
+    met = members.groupBy("doc_id").agg(F.sum("c").alias("met"))
+    centers = members.join(met, "doc_id").groupBy("key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("id"), "n")).alias("best"))
+    centers = centers.select("key", (-F.col("best.id")).alias("center"), F.col("best.n").alias("center_n"))
+    members = materialize(members.drop("c").join(materialize(centers, "centers"), "key"), "members")
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
