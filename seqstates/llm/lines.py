@@ -31,21 +31,23 @@ MIN_WORDS = 8
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, line, words, n, form) of every line that is long enough."""
+    """(doc_id, text_hash, line, words, n, form) of every line that is long enough; `words` is one text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     rows = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = rows.select("doc_id", "text_hash", "line", F.split(F.lower(F.trim("raw")), " ").alias("words"))
-    rows = rows.where(F.size("words") >= MIN_WORDS)
-    return rows.select("*", F.size("words").alias("n"), F.xxhash64("words").alias("form"))
+    rows = rows.select("doc_id", "text_hash", "line", F.lower(F.trim("raw")).alias("words"))
+    count = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1
+    rows = rows.withColumn("n", count).where(F.col("n") >= MIN_WORDS)
+    return rows.withColumn("form", F.xxhash64("words"))
 
 
 def _half_keys() -> str:
     """Keys of both halves, as a line of n words and as the longer of a pair of n - 1 and n."""
     keys = []
     for m in ("n", "n - 1"):
-        keys.append(f"xxhash64({m}, 1, slice(words, 1, ({m}) div 2))")
-        keys.append(f"xxhash64({m}, 2, slice(words, n - (({m}) - ({m}) div 2) + 1, ({m}) - ({m}) div 2))")
+        half = f"cast(({m}) div 2 AS int)"
+        keys.append(f"xxhash64({m}, 1, substring_index(words, ' ', {half}))")
+        keys.append(f"xxhash64({m}, 2, substring_index(words, ' ', {half} - ({m})))")
     return f"array({', '.join(keys)})"
 
 
@@ -68,17 +70,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     partnered = materialize(forms.join(partnered, "form").select("form", "first"), "partnered")
 
     # The words of the forms with a partner, from their first occurrence only.
-    wanted = partnered.select("form", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"), F.col("first.line").alias("l"))
+    wanted = partnered.select("form", "first", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"), F.col("first.line").alias("l"))
     same = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("text_hash") == F.col("h")) & (F.col("line") == F.col("l"))
-    words = lines.drop("form").join(wanted, same).select("form", "n", "words").dropDuplicates(["form"])
-    words = materialize(words, "words")
+    words = lines.drop("form").join(wanted, same).select("form", "first", "n", "words").dropDuplicates(["form"])
+    words = materialize(words.withColumn("words", F.split("words", " ")), "words")
 
-    each = words.select("form", "n", F.posexplode("words").alias("i", "word"))
-    each = each.select("form", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    each = words.select("form", "first", "n", F.posexplode("words").alias("i", "word"))
+    each = each.select("form", "first", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
     whole = Window.partitionBy("form")
     ordered = whole.orderBy("i")
     each = each.select(
         "form",
+        "first",
         "n",
         "i",
         F.coalesce(F.bit_xor("here").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
@@ -87,11 +90,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     keys = each.selectExpr(
         "form",
+        "first",
         "inline(array(struct(xxhash64(n, i, before, after) AS key),"
         " struct(xxhash64(n - 1, before ^ after) AS key),"
         " struct(if(i = 0, xxhash64(n, all), NULL) AS key)))",
     ).where("key IS NOT NULL")
-    keys = materialize(keys.distinct().join(partnered, "form"), "keys")
+    keys = materialize(keys, "keys")
     earliest = keys.groupBy("key").agg(F.min(F.struct("first", "form")).alias("best"), F.max("form").alias("hi"), F.min("form").alias("lo"))
     earliest = materialize(earliest.where("lo != hi").select("key", "best"), "earliest")
     found = keys.join(earliest, "key").where("best.first < first").groupBy("form").agg(F.min("best").alias("best"))
