@@ -54,7 +54,8 @@ def _templates(texts: DataFrame, key: list[str]) -> DataFrame:
 
 def _hashes(rows: DataFrame, key: list[str]) -> DataFrame:
     """(key, place, hash) of every window."""
-    windows = f"transform(sequence(1, size(template) - {WINDOW - 1}), i -> xxhash64(slice(template, i, {WINDOW})))"
+    windows = f"transform(sequence(1, size(raw) - {WINDOW - 1}), i -> xxhash64(slice(hashes, i, {WINDOW})))"
+    rows = rows.select(*key, "raw", F.expr("transform(template, x -> xxhash64(x)) AS hashes"))
     return rows.select(*key, F.posexplode(F.expr(windows)).alias("place", "hash"))
 
 
@@ -62,8 +63,8 @@ def _slotted(rows: DataFrame, key: list[str], extra: str) -> DataFrame:
     """Windows with the plain words of their slots."""
     quoted = SIGNS.replace("'", "\\'")
     values = f"transform(raw, (x, i) -> if(substring(template[i], 1, 1) = '<', lower(translate(x, '{quoted}', '')), NULL))"
-    rows = rows.withColumn("values", F.expr(values))
-    window = f"struct(xxhash64(slice(template, i, {WINDOW})) AS hash, slice(template, i, {WINDOW}) AS words, filter(slice(values, i, {WINDOW}), v -> v IS NOT NULL) AS slots)"
+    rows = rows.withColumn("values", F.expr(values)).withColumn("hashes", F.expr("transform(template, x -> xxhash64(x))"))
+    window = f"struct(xxhash64(slice(hashes, i, {WINDOW})) AS hash, slice(template, i, {WINDOW}) AS words, filter(slice(values, i, {WINDOW}), v -> v IS NOT NULL) AS slots)"
     rows = rows.select(*key, F.posexplode(F.expr(f"transform(sequence(1, size(template) - {WINDOW - 1}), i -> {window})")).alias(f"{extra}place", "w"))
     return rows.select(*key, f"{extra}place", F.col("w.hash").alias("hash"), F.col("w.words").alias("words"), F.col("w.slots").alias(f"{extra}slots"))
 
