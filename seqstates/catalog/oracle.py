@@ -233,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT {MODEL}, state, sym, CAST(sum(c) AS BIGINT) AS w FROM trans GROUP BY {MODEL}, state, sym",
         "state_sequence": model_ctes("ev_type", [3])
         + f"SELECT r.series_id, r.condition_id, {role}, r.t - 1 AS t, r.lt - 1 AS lt, r.ctx, r.y AS next_x, c.state"
-        " FROM rep r JOIN ctxs c USING (series_id, condition_id, k, ctx) WHERE NOT test",
+        " FROM rep r JOIN ctxs c USING (series_id, condition_id, k, ctx) WHERE NOT test AND r.lt <= r.n_role - 2",
         "log_loss": ev + f"SELECT {MODEL}, {rounded('logloss')} FROM losses",
         "statistical_complexity": ev + f"SELECT {MODEL}, {rounded('C_mu_empirical')} FROM entropies",
         "n_states": ev + "SELECT * FROM sizes",

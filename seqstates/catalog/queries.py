@@ -228,9 +228,9 @@ def state_symbol_counts(spark, sf_dir):
 
 @query
 def state_sequence(spark, sf_dir):
-    """State of every training position that starts a transition or ends one."""
+    """State of every training position that starts a transition."""
     series = ev_type(spark, sf_dir)
-    labelled = grams.last_k(series, 3).where("role = 'train'")
+    labelled = grams.last_k(series, 3, transitions_only=True).where("role = 'train'")
     return reconstruct.state_sequence(labelled, sweep.fit(series, [3], eps=EPS))
 
 

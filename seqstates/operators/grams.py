@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from seqstates.functions.codes import MAX_K, context_noise, context_text
 from seqstates.functions.draws import flip_draw, noise_bit
 from seqstates.operators.perturb import flipped, split_position
-from seqstates.conditions import Condition
+from seqstates.conditions import Condition, distinct_ids
 
 WORD = 62
 NO_CONTEXT = -1  # ctx of the row that stands for the model itself
@@ -48,6 +48,7 @@ def pack_words(series: DataFrame, conditions: Sequence[Condition] = PLAIN, seed:
     oldest in the highest bit, once per flip probability in ascending order.
     `length` is that of the series and `n` the one after subsampling.
     """
+    distinct_ids(conditions)
     steps = sorted({c.subsample_step for c in conditions})
     flips = _flips(conditions)
     if flips[-1] > 0:
@@ -237,14 +238,19 @@ def last_k(
     train_frac: float = 0.8,
     seed: int = 0,
     noise_seed: int | None = None,
+    transitions_only: bool = False,
 ) -> DataFrame:
     """Context and next symbol at every position that has both.
 
-    `t` is the position of the context's last symbol; `next_x` follows it.
+    `t` is the position of the context's last symbol; `next_x` follows it.  With
+    `transitions_only` the last position of train and test is left out, as no
+    transition starts there.
     """
     k = check_ks([k])[0]
     rows = positions(series, k, conditions, train_frac, seed, noise_seed)
     rows = rows.where(F.col("hist_len") >= k)
+    if transitions_only:
+        rows = rows.where(F.col("lt") <= F.col("n_role") - 2)
     columns = ["series_id", "condition_id", F.when(F.col("test"), "test").otherwise("train").alias("role")]
     columns += [(F.col("t") - 1).alias("t"), (F.col("lt") - 1).alias("lt")]
     columns.append(context_text(F.col("hist"), F.lit(k)).alias("ctx"))

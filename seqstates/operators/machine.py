@@ -47,16 +47,14 @@ def reciprocal_pairs(edges: DataFrame) -> DataFrame:
 
 def clean_probability(p: Column, clamp: bool = True, eps: float = PROB_EPSILON) -> Column:
     """NULL for NaN and infinities; values within `eps` of 0 or 1 snap to them."""
-    kept = F.when(~F.isnan(p) & (F.abs(p) != F.lit(float("inf"))), p.cast("double"))
+    value = p.cast("double")
+    infinite = value.isin(float("inf"), float("-inf"))
+    finite = F.when(~F.isnan(value) & ~infinite, value)
     if not clamp:
-        return kept
-    return (
-        F.when(F.abs(kept) < eps, F.lit(0.0))
-        .when(F.abs(kept - 1.0) < eps, F.lit(1.0))
-        .when((kept >= -eps) & (kept < 0.0), F.lit(0.0))
-        .when((kept > 1.0) & (kept <= 1.0 + eps), F.lit(1.0))
-        .otherwise(kept)
-    )
+        return finite
+    nearest = F.rint(finite)
+    snaps = nearest.isin(0.0, 1.0) & finite.between(nearest - eps, nearest + eps)
+    return F.when(snaps, nearest + 0.0).otherwise(finite)
 
 
 def clean_probabilities(edges: DataFrame, clamp: bool = True, eps: float = PROB_EPSILON) -> DataFrame:
@@ -99,6 +97,7 @@ def edge_labels(
     clamp: bool = True,
     eps: float = PROB_EPSILON,
     separator: str = "\n",
+    state_prefix: str = "S",
 ) -> DataFrame:
     """Label text `sym: p` per drawn edge; edges without a usable probability are left out."""
     usable = clean_probabilities(edges, clamp, eps).where(F.col("p").isNotNull())
@@ -111,8 +110,8 @@ def edge_labels(
         *MODEL,
         "state",
         "next_state",
-        state_name(F.col("state"), state_names).alias("state_name"),
-        state_name(F.col("next_state"), state_names).alias("next_state_name"),
+        state_name(F.col("state"), state_names, state_prefix).alias("state_name"),
+        state_name(F.col("next_state"), state_names, state_prefix).alias("next_state_name"),
         F.array_join(F.transform("symbols", line), separator).alias("label"),
     )
 

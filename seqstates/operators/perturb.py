@@ -10,20 +10,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqstates.conditions import Condition, validate_sweep
+from seqstates.conditions import Condition, distinct_ids
 from seqstates.functions.draws import flip_draw, flipped, noise_bit
 
 
 def flip_noise(series: DataFrame, flip_p: float, seed: int = 0) -> DataFrame:
     """Flip each symbol with probability `flip_p`; latent labels stay."""
-    validate_sweep([flip_p], [])
+    Condition(flip_p=flip_p)  # checks the probability
     drawn = series.withColumn("draw", F.expr(flip_draw(seed)))
     return drawn.withColumn("x", F.expr(flipped(flip_p))).drop("draw")
 
 
 def subsample(series: DataFrame, step: int) -> DataFrame:
     """Keep positions 0, step, 2*step, ... with their labels and number them anew."""
-    validate_sweep([], [step])
+    Condition(subsample_step=step)  # checks the step
     kept = series.where(F.col("t") % step == 0)
     return kept.withColumns(
         {"t": F.expr(f"t div {int(step)}"), "length": F.expr(f"(length + {int(step) - 1}) div {int(step)}")}
@@ -43,6 +43,7 @@ def perturb(series: DataFrame, condition: Condition, seed: int = 0) -> DataFrame
 
 def perturb_grid(series: DataFrame, conditions: Sequence[Condition], seed: int = 0) -> DataFrame:
     """Rows of every condition, keyed by `condition_id`, from one pass over the series."""
+    distinct_ids(conditions)
     if any(c.flip_p > 0 for c in conditions):
         series = series.withColumn("draw", F.expr(flip_draw(seed)))
     versions = []
@@ -77,6 +78,8 @@ def train_test_split(series: DataFrame, train_frac: float = 0.8) -> DataFrame:
 
 def split_position(length: str, train_frac: float) -> str:
     """Number of training symbols, as SQL text: truncated in double arithmetic."""
+    if not 0.0 <= train_frac <= 1.0:
+        raise ValueError(f"train_frac is a share of the series, got {train_frac}")
     return f"CAST(CAST({length} AS DOUBLE) * CAST({float(train_frac)!r} AS DOUBLE) AS BIGINT)"
 
 

@@ -3,9 +3,9 @@
 All tables are keyed by MODEL = (series_id, condition_id, k).  State ids are
 0, 1, 2, ... in ascending order of the next-symbol probability, per model.
 
-`assign_states` partitions the contexts by MODEL, and every later window and
-aggregation has MODEL among its keys, so none of them shuffles again.  A model has
-at most 2^k contexts (2^(k+1) noisy ones), however long its series.
+No table is partitioned by MODEL before it is small: contexts and their moves are
+spread by model and context, and what follows is combined on the map side to states
+first.  So a single model with very many contexts keeps all tasks busy.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from seqstates.functions.codes import context_noise, context_text, successor
 from seqstates.operators.grams import MODEL, NO_CONTEXT
-from seqstates.sources.scratch import sized_join
+from seqstates.sources.scratch import materialize, sized_join
+from seqstates.sources.series import range_index
+
+MAX_GATHERED = 2_000_000  # distinct estimates of a model that one array may hold
 
 
 def is_noisy(contexts: DataFrame) -> bool:
@@ -44,42 +47,75 @@ def context_stats(contexts: DataFrame) -> DataFrame:
     return seen.select(*MODEL, "ctx", n.alias("n"), "n1", (F.col("n1") / n).alias("p_hat"))
 
 
-def greedy_anchors(stats: DataFrame, eps: float) -> DataFrame:
+def greedy_anchors(stats: DataFrame, eps: float, max_gathered: int = MAX_GATHERED) -> DataFrame:
     """First `p_hat` of every bin, ascending, as one array per model.
 
-    A bin takes in estimates while they are within `eps` of its first one.  Only
-    the distinct estimates of a model are gathered, deduplicated on the map side;
-    the fold keeps at most 1/eps + 1 of them.
+    A bin takes in estimates while they are within `eps` of its first one.  The distinct
+    estimates of all models are found by a shuffle on model and estimate.  Up to
+    `max_gathered` per model, which a count tells, one array per model is folded; with
+    more, each bin is the next smallest estimate of all models at once, so that no task
+    ever holds those of a model.  Both give the same anchors, 1/eps + 1 of them at most.
     """
+    estimates = stats.select(*MODEL, "p_hat").distinct()
+    most = estimates.groupBy(*MODEL).count().agg(F.max("count")).first()[0] or 0
+    if most > max_gathered:
+        return _anchors_by_rounds(materialize(estimates, "estimates"), eps)
 
     def extend(anchors: Column, p: Column) -> Column:
         last = F.get(anchors, F.size(anchors) - 1)
         starts_bin = (F.size(anchors) == 0) | (F.abs(p - last) > F.lit(float(eps)))
         return F.when(starts_bin, F.concat(anchors, F.array(p))).otherwise(anchors)
 
-    ascending = F.sort_array(F.collect_set("p_hat"))
+    ascending = F.sort_array(F.collect_list("p_hat"))
     anchors = F.aggregate(ascending, F.array().cast("array<double>"), extend)
-    return stats.groupBy(*MODEL).agg(anchors.alias("anchors"))
-
-
-def assign_states(contexts: DataFrame, eps: float = 0.02) -> DataFrame:
+    return estimates.groupBy(*MODEL).agg(anchors.alias("anchors"))
+
+
+def _anchors_by_rounds(estimates: DataFrame, eps: float) -> DataFrame:
+    """One bin of every model per round, by a minimum that is combined on the map side."""
+    rounds = []
+    found = materialize(estimates.groupBy(*MODEL).agg(F.min("p_hat").alias("anchor")), "anchor")
+    while not found.isEmpty():
+        rounds.append(found)
+        ahead = sized_join(estimates, found, MODEL, salt="hash(p_hat)")
+        ahead = ahead.where(F.col("p_hat") - F.col("anchor") > F.lit(float(eps)))
+        found = materialize(ahead.groupBy(*MODEL).agg(F.min("p_hat").alias("anchor")), "anchor")
+    if not rounds:
+        return estimates.groupBy(*MODEL).agg(F.collect_list("p_hat").alias("anchors"))
+    whole = rounds[0]
+    for found in rounds[1:]:
+        whole = whole.union(found)
+    return whole.groupBy(*MODEL).agg(F.sort_array(F.collect_list("anchor")).alias("anchors"))
+
+
+def _bins_up_to(p: Column) -> Column:
+    """Number of anchors up to `p`: searched among every 64th, then in one block."""
+    blocks = F.filter("anchors", lambda a, i: (i % 64 == 0) & (a <= p))
+    block = F.greatest(F.size(blocks), F.lit(1)) - 1
+    return block * 64 + F.size(F.filter(F.slice("anchors", block * 64 + 1, F.lit(64)), lambda a: a <= p))
+
+
+def assign_states(contexts: DataFrame, eps: float = 0.02, max_gathered: int = MAX_GATHERED) -> DataFrame:
     """Add `p_hat` and `state` to a written `contexts` table.
 
     `state` is NULL for contexts seen only in the test part and for the row that
-    stands for the model.  With `eps` 0 every distinct estimate is a state, which a
-    rank gives directly.
+    stands for the model.  With `eps` 0 every distinct estimate is a state, numbered by
+    a range-partitioned sort.
     """
-    by_model = contexts.repartition(*MODEL)
+    if not eps >= 0:
+        raise ValueError(f"eps is a distance of probabilities, got {eps}")
     n = F.col("n0") + F.col("n1")
-    estimated = by_model.withColumn("p_hat", F.when(n > 0, F.col("n1") / n))
-    known = F.col("p_hat").isNotNull()
-    if eps <= 0:
-        rank = F.dense_rank().over(Window.partitionBy(*MODEL).orderBy(F.col("p_hat").asc_nulls_last()))
-        return estimated.withColumn("state", F.when(known, rank - 1))
-    anchors = greedy_anchors(context_stats(by_model), eps)
-    joined = estimated.join(anchors.hint("merge"), MODEL, "left")
-    below = F.filter("anchors", lambda a: a <= F.col("p_hat"))
-    return joined.withColumn("state", F.when(known, F.size(below) - 1)).drop("anchors")
+    estimated = contexts.withColumn("p_hat", F.when(n > 0, F.col("n1") / n))
+    if eps == 0:
+        distinct = context_stats(contexts).select(*MODEL, "p_hat").distinct()
+        keyed = distinct.select(F.struct(*MODEL).alias("series_id"), "p_hat")
+        ranked = range_index(keyed, ["p_hat"], keep=["p_hat"])
+        ranked = ranked.select("series_id.*", "p_hat", F.col("t").cast("int").alias("state"))
+        return sized_join(estimated, ranked, [*MODEL, "p_hat"], how="left").select(*estimated.columns, "state")
+    anchors = greedy_anchors(context_stats(contexts), eps, max_gathered)
+    joined = sized_join(estimated, anchors, MODEL, salt="ctx", how="left")
+    state = F.when(F.col("p_hat").isNotNull(), _bins_up_to(F.col("p_hat")) - 1)
+    return joined.withColumn("state", state).drop("anchors")
 
 
 RECONSTRUCTORS = {"one_step": assign_states}
@@ -106,8 +142,8 @@ def transition_rows(fitted: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
     The next context follows from the context and the symbol, so the counts of the
     contexts are enough.  Its state is found by sending each move to the next
-    context, where a window hands over the state; contexts and moves are already in
-    the partition of their model.  The rows of the contexts keep the columns in
+    context, where a window over a context's own row and its few moves hands over the
+    state.  The rows of the contexts keep the columns in
     `carry`, which are NULL for moves.
     """
     names = ["ctx", "own_state", "state", "sym", "c", *carry]

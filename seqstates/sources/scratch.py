@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 8 << 20  # as written
 SALTS = 64
 
 _written: list[tuple[SparkSession, str]] = []
@@ -53,22 +54,23 @@ def sized_join(
     *,
     salt: str | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of many rows with a lookup table that has unique keys.
+    """Join of many rows with a lookup table that has unique keys; `how` is inner or left.
 
-    The lookup is written, which also counts it.  Up to `max_broadcast_rows` it is
-    broadcast.  A larger one is joined by key; with `salt`, an integer column of the
+    The lookup is written, which also measures it.  Up to `max_broadcast_rows` and
+    `MAX_BROADCAST_BYTES` it is broadcast.  A larger one is joined by key; with `salt`, an integer column of the
     rows, it is repeated so that a key that holds a large part of them is joined by
     many tasks.
     """
     lookup = materialize(lookup, "lookup")
-    if lookup.count() <= max_broadcast_rows:
-        return rows.join(F.broadcast(lookup), keys)
+    if _written_bytes() <= MAX_BROADCAST_BYTES and lookup.count() <= max_broadcast_rows:
+        return rows.join(F.broadcast(lookup), keys, how)
     if salt is None:
-        return rows.join(lookup, keys)
+        return rows.join(lookup, keys, how)
     repeated = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", (F.col(salt) % SALTS).cast("int"))
-    return salted.join(repeated, [*keys, "salt"]).drop("salt")
+    salted = rows.withColumn("salt", F.expr(f"CAST(pmod({salt}, {SALTS}) AS INT)"))
+    return salted.join(repeated, [*keys, "salt"], how).drop("salt")
 
 
 def drop_materialized(spark: SparkSession, since: int = 0) -> int:
@@ -83,6 +85,13 @@ def drop_materialized(spark: SparkSession, since: int = 0) -> int:
     return dropped
 
 
+def _written_bytes() -> int:
+    """Size of the table written last."""
+    spark, name = _written[-1]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def written_count() -> int:
     return len(_written)
 

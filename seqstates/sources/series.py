@@ -28,9 +28,7 @@ def _series_id(series: Sequence[str]) -> Column:
     """One text key; NULL keys stay a series of their own."""
     if not series:
         return F.lit("all")
-    texts = [F.col(c).cast("string") for c in series]
-    if len(texts) > 1:
-        texts = [F.regexp_replace(text, r"([\\|])", r"\\$1") for text in texts]
+    texts = [F.regexp_replace(F.col(c).cast("string"), r"([\\|])", r"\\$1") for c in series]
     return F.concat_ws("|", *[F.coalesce(text, F.lit("\\N")) for text in texts])
 
 
@@ -47,6 +45,18 @@ def _keyed_rows(df, series, order, predicate, bucket, latent):
     return df.select(*columns), [f"o{i}" for i in range(len(order))]
 
 
+def _tie() -> Column:
+    """Ends the job: with equal order keys the numbering would depend on the layout."""
+    return F.raise_error(F.lit("two rows of a series are equal in all order columns")).cast("boolean")
+
+
+def _checked_place(window, order: Sequence[str]) -> Column:
+    """Row number, from a sort that shows equal neighbours."""
+    own = F.struct(*order)
+    tied = F.lag(own).over(window.orderBy(*order)) == own
+    return F.when(F.coalesce(tied, F.lit(False)), _tie().cast("int")).otherwise(F.row_number().over(window.orderBy(*order)))
+
+
 def _groups_fit(rows: DataFrame, max_group_rows: int) -> bool:
     """Whether no (series, bucket) has more rows; small tables need only a plain count."""
     if rows.count() <= max_group_rows:
@@ -70,7 +80,7 @@ def grouped_index(rows: DataFrame, order: Sequence[str], bucketed: bool = True)
     if not bucketed:
         whole = Window.partitionBy("series_id")
         numbered = rows.withColumns(
-            {"t": F.row_number().over(whole.orderBy(*order)) - 1, "length": F.count("*").over(whole)}
+            {"t": _checked_place(whole, order) - 1, "length": F.count("*").over(whole)}
         )
         return _result(numbered.withColumn("t", F.col("t").cast("long")))
     counts = rows.groupBy("series_id", "bucket").agg(F.count("*").alias("c"))
@@ -81,13 +91,12 @@ def grouped_index(rows: DataFrame, order: Sequence[str], bucketed: bool = True)
         (F.sum("c").over(whole.orderBy("bucket")) - F.col("c")).alias("offset"),
         F.sum("c").over(whole).alias("length"),
     )
-    place = F.row_number().over(Window.partitionBy("series_id", "bucket").orderBy(*order))
-    numbered = rows.withColumn("place", place)
+    numbered = rows.withColumn("place", _checked_place(Window.partitionBy("series_id", "bucket"), order))
     joined = numbered.join(offsets.hint("merge"), ["series_id", "bucket"])
     return _result(joined.withColumn("t", F.col("offset") + F.col("place") - 1))
 
 
-def range_index(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+def range_index(rows: DataFrame, order: Sequence[str], keep: Sequence[str] = ("x", "latent")) -> DataFrame:
     """Number rows from a range-partitioned sort of all of them.
 
     `monotonically_increasing_id` counts along each sorted partition.  The layout
@@ -97,8 +106,11 @@ def range_index(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     partition, however large the series.
     """
     keys = ["series_id", *order]
-    laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    kept = [c for c in rows.columns if c in ("series_id", "x", "latent")]
+    # Equal keys share a range, so finding ties needs no other shuffle.
+    values = [c for c in keep if c in rows.columns and c not in keys]
+    laid = rows.repartitionByRange(*keys).groupBy(*keys).agg(F.count("*").alias("c"), *[F.max(c).alias(c) for c in values])
+    laid = laid.where(F.when(F.col("c") > 1, _tie()).otherwise(F.lit(True))).sortWithinPartitions(*keys)
+    kept = ["series_id", *[c for c in keep if c in rows.columns]]
     laid = laid.select(*kept, F.monotonically_increasing_id().alias("pos"))
     laid = materialize(laid, "series").withColumn("part", F.shiftright("pos", 33))
     runs = laid.groupBy("series_id", "part").agg(F.count("*").alias("c"), F.min("pos").alias("first_pos"))
@@ -109,8 +121,8 @@ def range_index(rows: DataFrame, order: Sequence[str]) -> DataFrame:
         (F.sum("c").over(whole.orderBy("part")) - F.col("c") - F.col("first_pos")).alias("shift"),
         F.sum("c").over(whole).alias("length"),
     )
-    joined = sized_join(laid, offsets, ["series_id", "part"])
-    return _result(joined.withColumn("t", F.col("pos") + F.col("shift")))
+    joined = sized_join(laid, offsets, ["series_id", "part"]).withColumn("t", F.col("pos") + F.col("shift"))
+    return joined.select("series_id", "t", *kept[1:], "length") if "x" not in kept else _result(joined)
 
 
 def symbol_series(
@@ -126,7 +138,7 @@ def symbol_series(
 ) -> DataFrame:
     """0/1 series of `predicate` (NULL counts as 0) per `series` key, ordered by `order`.
 
-    `order` has to be a total order within a series.  `bucket`, if given, is an
+    `order` has to be a total order within a series; equal rows end the job, in either way.  `bucket`, if given, is an
     integer that must not decrease along `order` (the day of a timestamp, say); it
     splits the sort of long series without a written table.  `method` is "auto", "group" or "range".
     """
@@ -159,13 +171,17 @@ def as_symbol_series(df: DataFrame) -> DataFrame:
     missing = {"series_id", "t", "x"} - set(df.columns)
     if missing:
         raise ValueError(f"Missing columns: {sorted(missing)}")
-    lengths = df.groupBy("series_id").agg(
-        F.count("*").alias("length"),
-        F.min("t").alias("lo"),
-        F.max("t").alias("hi"),
-        F.count_if(~F.coalesce(F.col("x").isin(0, 1), F.lit(False))).alias("bad"),
+    # 62 positions share a word; as many different bits as rows means that no position
+    # occurs twice, and with the largest one below the length that none is left out.
+    bad = ~F.coalesce(F.col("x").isin(0, 1) & (F.col("t") >= 0), F.lit(False))
+    place = F.expr("if(t >= 0, shiftleft(1L, CAST(t % 62 AS INT)), 0L)")
+    words = df.groupBy("series_id", F.expr("t div 62").alias("w")).agg(
+        F.count("*").alias("c"), F.bit_count(F.bit_or(place)).alias("places"), F.max("t").alias("hi"), F.count_if(bad).alias("bad")
+    )
+    lengths = words.groupBy("series_id").agg(
+        F.sum("c").alias("length"), F.sum("places").alias("places"), F.max("hi").alias("hi"), F.sum("bad").alias("bad")
     )
-    wrong = lengths.where((F.col("bad") > 0) | (F.col("lo") != 0) | (F.col("hi") != F.col("length") - 1))
+    wrong = lengths.where("bad > 0 OR places != length OR hi != length - 1")
     example = wrong.select("series_id").first()
     if example is not None:
         raise ValueError(f"series {example[0]!r}: symbols must be 0 or 1 at positions 0..n-1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +48,14 @@ SUMMARY_SCHEMA = T.StructType(
     + [T.StructField("n", T.LongType())]
     + [T.StructField(f"{m}_{s}", T.DoubleType()) for m in METRICS for s in ("mean", "std")]
 )
+CSV_NULL = {"nullValue": "\\N"}  # an empty text, which is written with quotes, is not NULL
 PHASE_COLUMNS = ["flip_p", "subsample_step", "k", "branch_entropy_mean", "unifilarity_score_mean"]
 
 
 def require_columns(df: DataFrame, required: Iterable[str], where: str = "table") -> DataFrame:
-    missing = set(required) - set(df.columns)
-    if missing:
-        raise ValueError(f"Missing columns in {where}: {sorted(missing)}")
+    lacking = [c for c in dict.fromkeys(required) if c not in df.columns]
+    if lacking:
+        raise ValueError(f"{where} has no column {', '.join(sorted(lacking))}")
     return df
 
 
@@ -72,7 +73,7 @@ def _stored(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
 def _write(df: DataFrame, path: str, fmt: str, mode: str, partition_by: Iterable[str] = ()) -> None:
     writer = df.write.format(fmt).mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).options(**CSV_NULL)
     partition_by = list(partition_by)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -80,12 +81,12 @@ def _write(df: DataFrame, path: str, fmt: str, mode: str, partition_by: Iterable
 
 
 def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append; the stored columns have to be the same in the same order."""
+    """Append; the stored columns have to be the same in the same order, in typed formats with the same types."""
     stored = _stored(df.sparkSession, path, fmt)
-    if stored is not None and stored.columns != df.columns:
-        raise ValueError(
-            f"Column mismatch when appending to {path}.\nExisting: {stored.columns}\nNew:      {df.columns}"
-        )
+    if stored is not None:
+        old, new = (t.columns if fmt == "csv" else t.dtypes for t in (stored, df))
+        if old != new:
+            raise ValueError(f"{path} holds {old}, so {new} cannot be added to it")
     _write(df, path, fmt, "append")
 
 
@@ -111,23 +112,34 @@ def save_edges(
     _write(edges, path, fmt, mode, ["condition_id", "k"])
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType, required: Iterable[str]) -> DataFrame:
+def _read(
+    spark: SparkSession,
+    path: str,
+    fmt: str,
+    schema: T.StructType,
+    required: Iterable[str],
+    renamed: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Typed table from columns found by name; those the file lacks are left out."""
     stored = _stored(spark, path, fmt)
     if stored is None:
-        raise FileNotFoundError(f"Missing {path}")
+        raise FileNotFoundError(f"no table at {path}")
+    renamed = {a: b for a, b in (renamed or {}).items() if a in stored.columns and b not in stored.columns}
+    header, stored = stored.columns, stored.withColumnsRenamed(renamed)
     require_columns(stored, required, path)
     if fmt != "csv":
         return stored.select(*[stored[f.name].cast(f.dataType) for f in schema if f.name in stored.columns])
     # Positions come from the file's own header, so order and extra columns are free.
     types = {f.name: f.dataType for f in schema}
-    layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in stored.columns])
-    typed = spark.read.schema(layout).csv(path, header=True, enforceSchema=False)
+    layout = T.StructType([T.StructField(c, types.get(renamed.get(c, c), T.StringType())) for c in header])
+    typed = spark.read.schema(layout).options(**CSV_NULL, emptyValue="").csv(path, header=True, enforceSchema=False)
+    typed = typed.withColumnsRenamed(renamed)
     return typed.select(*[c for c in schema.names if c in typed.columns])
 
 
 def read_runs(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _read(spark, path, fmt, RUN_SCHEMA, {*SUMMARY_KEYS, "series_id", *METRICS})
+    """Run rows; a `seed` column serves as the series where there is none of its own."""
+    return _read(spark, path, fmt, RUN_SCHEMA, {*SUMMARY_KEYS, "series_id", *METRICS}, {"seed": "series_id"})
 
 
 def read_summary(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

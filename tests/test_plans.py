@@ -1,10 +1,11 @@
 """What the plans must and must not contain."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqstates.catalog import queries as catalog
 from seqstates.operators.grams import contexts, histories
-from seqstates.operators.reconstruct import assign_states
+from seqstates.operators.reconstruct import assign_states, context_stats, greedy_anchors, transition_rows
 from seqstates.plans.sweep import run_rows
 from seqstates.operators.grams import PLAIN
 from seqstates.sources.scratch import materialize
@@ -27,9 +28,29 @@ def test_counting_reads_only_its_columns_and_needs_no_python(long_series):
     assert text.count("Exchange hashpartitioning") + text.count("Exchange SinglePartition") == 7
 
 
-def test_model_tables_shuffle_only_by_model(long_series):
+def test_contexts_spread_by_model_and_context(long_series):
     counted = materialize(contexts(long_series, [1, 2]), "contexts")
     text = plan(run_rows(assign_states(counted), PLAIN, base_process="p"))
     shuffles = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
-    assert len(shuffles) == 2 and all("REPARTITION_BY_COL" in line for line in shuffles)
+    assert "ctx" in shuffles[-1] and "REPARTITION" not in text  # the one below all others
+    assert text.count("Scan parquet") <= 2  # the contexts once, and the anchors
     assert "Python" not in text and "Cartesian" not in text
+
+
+def test_one_model_fills_all_partitions(spark, long_series):
+    counted = materialize(contexts(long_series, [12]), "contexts")
+    moves = transition_rows(assign_states(counted))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        by_partition = moves.groupBy(F.spark_partition_id()).agg(F.count("*").alias("rows"), F.max("next_state"))
+        sizes = [r["rows"] for r in by_partition.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
+@pytest.mark.parametrize("eps", [0.05, 0.3])
+def test_anchors_by_rounds_equal_the_fold(long_series, eps):
+    stats = context_stats(materialize(contexts(long_series, [3, 8]), "contexts"))
+    fold, rounds = greedy_anchors(stats, eps), greedy_anchors(stats, eps, max_gathered=0)
+    assert sorted(map(str, fold.collect())) == sorted(map(str, rounds.collect()))

@@ -53,7 +53,7 @@ def test_large_groups_take_the_range_index(skewed, monkeypatch):
 
 
 def test_range_index_with_a_large_lookup(skewed, monkeypatch):
-    monkeypatch.setattr(scratch.sized_join, "__kwdefaults__", {"salt": None, "max_broadcast_rows": 0})
+    monkeypatch.setattr(scratch.sized_join, "__kwdefaults__", {**scratch.sized_join.__kwdefaults__, "max_broadcast_rows": 0})
     assert numbered(skewed, method="range") == numbered(skewed)
 
 
