@@ -209,6 +209,8 @@ def oracle_sql() -> dict[str, str]:
         f" CAST({draw(repr('rep'), repr(str(NOISE_SEED)), 'lt')} < 0.5 AS INTEGER) AS z FROM parts",
         "last_k": model_ctes("ev_type", [3])
         + f"SELECT series_id, condition_id, {role}, t - 1 AS t, lt - 1 AS lt, ctx, y AS next_x FROM rep",
+        "last_k_long": model_ctes("ord_prio", [70])
+        + f"SELECT series_id, condition_id, {role}, t - 1 AS t, lt - 1 AS lt, ctx, y AS next_x FROM rep",
         "last_k_noisy": model_ctes("ev_type", [2], noise_seed=NOISE_SEED)
         + f"SELECT series_id, condition_id, {role}, t - 1 AS t, lt - 1 AS lt, {noisy_ctx}, y AS next_x FROM rep",
         "next_symbol": f"WITH {series_cte('ord_prio')} SELECT * FROM (SELECT series_id, t, x,"
@@ -274,6 +276,9 @@ def oracle_sql() -> dict[str, str]:
         f" condition_id, wrappers, 'ord_prio' || {process}, n AS n_symbols FROM obs",
         "sweep_runs": grid_runs + runs,
         "sweep_runs_long": model_ctes("li_all", range(1, 11)) + runs,
+        "sweep_runs_long_histories": model_ctes("ord_prio", [2, 61, 70]) + runs,
+        "sweep_runs_one_series": model_ctes("li_all", [12, 16]) + runs,
+        "sweep_runs_fine_bins": model_ctes("ord_prio", eps=1e-4) + runs,
         "sweep_runs_noisy": model_ctes("ord_prio", [1, 2, 3], noise_seed=NOISE_SEED) + runs,
         "sweep_runs_unmerged": model_ctes("ord_prio", eps=0.0) + runs,
         "sweep_runs_many": model_ctes("li_supp", [1, 2, 3, 4]) + runs,

@@ -134,6 +134,12 @@ def last_k(spark, sf_dir):
     return grams.last_k(ev_type(spark, sf_dir), 3)
 
 
+@query
+def last_k_long(spark, sf_dir):
+    """Histories of more than one word."""
+    return grams.last_k(ord_prio(spark, sf_dir), 70)
+
+
 @query
 def last_k_noisy(spark, sf_dir):
     return grams.last_k(ev_type(spark, sf_dir), 2, noise_seed=NOISE_SEED)
@@ -358,6 +364,22 @@ def sweep_runs_long(spark, sf_dir):
     return rounded(_runs(spark, sf_dir, li_all, "li_all", range(1, 11)), *RUN_DOUBLES)
 
 
+@query
+def sweep_runs_long_histories(spark, sf_dir):
+    return rounded(_runs(spark, sf_dir, ord_prio, "ord_prio", [2, 61, 70]), *RUN_DOUBLES)
+
+
+@query
+def sweep_runs_one_series(spark, sf_dir):
+    """One series and up to 2^16 contexts in a model."""
+    return rounded(_runs(spark, sf_dir, li_all, "li_all", [12, 16]), *RUN_DOUBLES)
+
+
+@query
+def sweep_runs_fine_bins(spark, sf_dir):
+    return rounded(_runs(spark, sf_dir, ord_prio, "ord_prio", eps=1e-4), *RUN_DOUBLES)
+
+
 @query
 def sweep_runs_noisy(spark, sf_dir):
     return rounded(_runs(spark, sf_dir, ord_prio, "ord_prio", [1, 2, 3], noise_seed=NOISE_SEED), *RUN_DOUBLES)

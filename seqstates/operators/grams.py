@@ -21,13 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqstates.functions.codes import MAX_K, context_noise, context_text
+from seqstates.functions.codes import WORD_K, context_noise, context_text, is_text, last_symbols, no_context
 from seqstates.functions.draws import flip_draw, noise_bit
 from seqstates.operators.perturb import flipped, split_position
 from seqstates.conditions import Condition, distinct_ids
 
 WORD = 62
-NO_CONTEXT = -1  # ctx of the row that stands for the model itself
 MODEL = ["series_id", "condition_id", "k"]
 PLAIN = (Condition(),)
 
@@ -36,8 +35,6 @@ def check_ks(ks: Sequence[int]) -> list[int]:
     ks = sorted(set(int(k) for k in ks))
     if not ks or ks[0] < 1:
         raise ValueError("k must be at least 1")
-    if ks[-1] > MAX_K:
-        raise ValueError(f"k must be at most {MAX_K}")
     return ks
 
 
@@ -72,32 +69,34 @@ def _flips(conditions: Sequence[Condition]) -> list[float]:
     return sorted({c.flip_p for c in conditions})
 
 
-def with_halo(words: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
-    """One row per condition and word: (series_id, condition_id, w, bits, halo, length, n).
+def with_halo(words: DataFrame, conditions: Sequence[Condition], reach: int = 1) -> DataFrame:
+    """One row per condition and word: (series_id, condition_id, w, bits, halo, [earlier,] length, n).
 
     `halo` is the word before, zero for the first.  Every word is sent to itself and
-    to its successor; two rows meet per key.  The partition count is set here, as a
+    to its `reach` successors; that many rows and one more meet per key.  With a reach
+    over 1, `earlier` holds the symbols of all these words before as text.  The partition count is set here, as a
     word row grows 62-fold in `positions` and sizing by the bytes of the words would
     leave too few tasks.
     """
     flips = _flips(conditions)
     partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = [f"if(ahead = 0, bits{i}, NULL) AS bits{i}" for i in range(len(flips))]
-    columns += [f"if(ahead = 1, bits{i}, NULL) AS halo{i}" for i in range(len(flips))]
-    sent = words.selectExpr("*", "explode(array(0, 1)) AS ahead")
+    columns = [f"if(ahead = {a}, bits{i}, NULL) AS b{i}_{a}" for i in range(len(flips)) for a in range(reach + 1)]
+    sent = words.selectExpr("*", f"explode(sequence(0, {reach})) AS ahead")
     sent = sent.selectExpr("series_id", "step", "w + ahead AS w", "length", "n", *columns)
     sent = sent.where(f"w * {WORD} < n")  # there is no word after the last
     sent = sent.withColumn("place", F.expr("xxhash64(series_id, step, w)")).repartition(partitions, "place")
     both = sent.groupBy("place", "series_id", "step", "w").agg(
         F.max("length").alias("length"),
         F.max("n").alias("n"),
-        *[F.max(f"bits{i}").alias(f"bits{i}") for i in range(len(flips))],
-        *[F.expr(f"coalesce(max(halo{i}), 0L)").alias(f"halo{i}") for i in range(len(flips))],
+        *[F.expr(f"coalesce(max(b{i}_{a}), 0L) AS b{i}_{a}") for i in range(len(flips)) for a in range(reach + 1)],
     )
     versions = []
     for c in conditions:
         i = flips.index(c.flip_p)
-        fields = [F.lit(c.condition_id).alias("condition_id"), F.expr(f"bits{i} AS bits"), F.expr(f"halo{i} AS halo")]
+        fields = [F.lit(c.condition_id).alias("condition_id"), F.expr(f"b{i}_0 AS bits"), F.expr(f"b{i}_1 AS halo")]
+        if reach > 1:
+            shown = ", ".join(f"lpad(bin(b{i}_{a}), {WORD}, '0')" for a in range(reach, 0, -1))
+            fields.append(F.expr(f"concat({shown}) AS earlier"))
         versions.append(F.when(F.col("step") == c.subsample_step, F.struct(*fields)))
     rows = both.select("series_id", "w", "length", "n", F.explode(F.array(*versions)).alias("v"))
     return rows.where("v IS NOT NULL").select("series_id", "v.*", "w", "length", "n")
@@ -118,7 +117,8 @@ def positions(
     `least(k_max, lt)`.  With a noise seed, `z` is the noise bit of the position
     before `y` and `z_next` that of `y`.
     """
-    words = with_halo(pack_words(series, conditions, seed), conditions)
+    text = k_max > WORD_K
+    words = with_halo(pack_words(series, conditions, seed), conditions, max(2, -(-k_max // WORD)) if text else 1)
     rows = words.selectExpr(
         "*",
         f"{split_position('n', train_frac)} AS split",
@@ -128,6 +128,10 @@ def positions(
     noise = []
     if noise_seed is not None:
         noise = [f"{noise_bit(noise_seed, 'lt - 1')} AS z", f"{noise_bit(noise_seed, 'lt')} AS z_next"]
+    # The word before, moved up by i, then the first i symbols of the word itself.
+    hist = f"(shiftleft(halo, i) | shiftrightunsigned(bits, {WORD} - i)) & (shiftleft(1L, hist_len) - 1) AS hist"
+    if text:
+        hist = f"right(concat(earlier, left(lpad(bin(bits), {WORD}, '0'), i)), hist_len) AS hist"
     return rows.selectExpr(
         "series_id",
         "condition_id",
@@ -138,8 +142,7 @@ def positions(
         "first + i - if(test, split, 0L) AS lt",
         "if(test, n - split, split) AS n_role",
         f"CAST(least({k_max}L, lt) AS INT) AS hist_len",
-        # The word before, moved up by i, then the first i symbols of the word itself.
-        f"(shiftleft(halo, i) | shiftrightunsigned(bits, {WORD} - i)) & (shiftleft(1L, hist_len) - 1) AS hist",
+        hist,
         f"CAST(shiftrightunsigned(bits, {WORD - 1} - i) & 1 AS INT) AS y",
         *noise,
     )
@@ -177,10 +180,9 @@ def _per_k(counts: DataFrame, ks: Sequence[int], noisy: bool, keep_start: bool)
     start = " OR hist_len = 0" if keep_start else ""
     fitting = ", ".join(f"if(hist_len >= {k}{start}, {k}, NULL)" for k in ks)
     rows = counts.selectExpr("*", f"explode(array({fitting})) AS k").where("k IS NOT NULL")
-    ctx = "hist & (shiftleft(1L, k) - 1)"
-    if noisy:
-        ctx = f"shiftleft({ctx}, 1) | z"
-    return rows.withColumn("ctx", F.expr(f"if(hist_len >= k, {ctx}, {NO_CONTEXT}L)"))
+    text = is_text(counts, "hist")
+    ctx = last_symbols("hist", "k", "z" if noisy else None, text)
+    return rows.withColumn("ctx", F.expr(f"if(hist_len >= k, {ctx}, {no_context(text)})"))
 
 
 def gram_counts(counts: DataFrame, ks: Sequence[int], noisy: bool = False) -> DataFrame:
@@ -189,9 +191,10 @@ def gram_counts(counts: DataFrame, ks: Sequence[int], noisy: bool = False) -> Da
     keys = [*MODEL, "test", "ctx", "y"]
     grams = rows.groupBy(*keys).agg(F.sum("n_fit").alias("n_fit"), F.sum("n_trans").alias("n_trans"))
     columns = [*MODEL, F.when(F.col("test"), "test").otherwise("train").alias("role")]
-    columns.append(context_text(F.col("ctx"), F.col("k"), noisy).alias("ctx"))
+    text = is_text(grams)
+    columns.append(context_text(F.col("ctx"), F.col("k"), noisy, text).alias("ctx"))
     if noisy:
-        columns.append(context_noise(F.col("ctx"), True).alias("z"))
+        columns.append(context_noise(F.col("ctx"), True, text).alias("z"))
     return grams.select(*columns, "y", "n_fit", "n_trans")
 
 
@@ -216,7 +219,7 @@ def contexts(
     rows = _per_k(counts, ks, noisy, keep_start=True)
 
     def total(column: str, condition: str, name: str) -> Column:
-        counted = f"ctx != {NO_CONTEXT} AND {condition}"
+        counted = f"ctx != {no_context(is_text(rows))} AND {condition}"
         return F.expr(f"coalesce(sum({column}) FILTER (WHERE {counted}), 0L)").alias(name)
 
     sums = [F.max("length").alias("length")]
@@ -253,7 +256,7 @@ def last_k(
         rows = rows.where(F.col("lt") <= F.col("n_role") - 2)
     columns = ["series_id", "condition_id", F.when(F.col("test"), "test").otherwise("train").alias("role")]
     columns += [(F.col("t") - 1).alias("t"), (F.col("lt") - 1).alias("lt")]
-    columns.append(context_text(F.col("hist"), F.lit(k)).alias("ctx"))
+    columns.append(context_text(F.col("hist"), F.lit(k), text=is_text(rows, "hist")).alias("ctx"))
     if noise_seed is not None:
         columns.append("z")
     return rows.select(*columns, F.col("y").alias("next_x"))

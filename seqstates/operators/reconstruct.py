@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqstates.functions.codes import context_noise, context_text, successor
-from seqstates.operators.grams import MODEL, NO_CONTEXT
+from seqstates.functions.codes import context_noise, context_text, is_text, no_context, successor
+from seqstates.operators.grams import MODEL
 from seqstates.sources.scratch import materialize, sized_join
 from seqstates.sources.series import range_index
 
@@ -36,14 +36,15 @@ def _transition_columns(contexts: DataFrame) -> list[tuple[str, int, int | None]
 
 def shown_context(table: DataFrame, noisy: bool) -> list[Column]:
     """The context as text, and the noise bit of a noisy one."""
-    text = context_text(F.col("ctx"), F.col("k"), noisy).alias("ctx")
-    return [text, context_noise(F.col("ctx"), True).alias("z")] if noisy else [text]
+    as_text = is_text(table)
+    text = context_text(F.col("ctx"), F.col("k"), noisy, as_text).alias("ctx")
+    return [text, context_noise(F.col("ctx"), True, as_text).alias("z")] if noisy else [text]
 
 
 def context_stats(contexts: DataFrame) -> DataFrame:
     """Support `n`, ones `n1` and estimate `p_hat` of every context seen in training."""
     n = F.col("n0") + F.col("n1")
-    seen = contexts.where((F.col("ctx") != NO_CONTEXT) & (n > 0))
+    seen = contexts.where((F.col("ctx") != F.expr(no_context(is_text(contexts)))) & (n > 0))
     return seen.select(*MODEL, "ctx", n.alias("n"), "n1", (F.col("n1") / n).alias("p_hat"))
 
 
@@ -113,7 +114,7 @@ def assign_states(contexts: DataFrame, eps: float = 0.02, max_gathered: int = MA
         ranked = ranked.select("series_id.*", "p_hat", F.col("t").cast("int").alias("state"))
         return sized_join(estimated, ranked, [*MODEL, "p_hat"], how="left").select(*estimated.columns, "state")
     anchors = greedy_anchors(context_stats(contexts), eps, max_gathered)
-    joined = sized_join(estimated, anchors, MODEL, salt="ctx", how="left")
+    joined = sized_join(estimated, anchors, MODEL, salt="hash(ctx)", how="left")
     state = F.when(F.col("p_hat").isNotNull(), _bins_up_to(F.col("p_hat")) - 1)
     return joined.withColumn("state", state).drop("anchors")
 
@@ -151,7 +152,7 @@ def transition_rows(fitted: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     no_int, no_count = "CAST(NULL AS INT)", ["CAST(NULL AS BIGINT)"] * len(carry)
     messages = [message.format("ctx", "state", "state", no_int, "0L", *carry)]
     for column, y, z in _transition_columns(fitted):
-        messages.append(message.format(successor(y, z), no_int, "state", y, column, *no_count))
+        messages.append(message.format(successor(y, z, is_text(fitted)), no_int, "state", y, column, *no_count))
     sent = fitted.selectExpr(*MODEL, f"inline(array({', '.join(messages)}))").where("sym IS NULL OR c > 0")
     return sent.withColumn("next_state", F.max("own_state").over(Window.partitionBy(*MODEL, "ctx")))
 
