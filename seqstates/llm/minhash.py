@@ -4,15 +4,14 @@
    `BANDS * ROWS` slots and one key per band (`document_sets`).  Documents with equal
    sets form a class; only its smallest id goes on.
 2. Classes with an equal band key are candidates.  At a similarity of 0.75 a pair
-   shares fewer than two of the 64 bands of 5 slots with a probability of 6e-7.
+   shares none of the 64 bands of 5 slots with a probability of 3e-8.
 3. First each class is checked against one other: every bucket names the member that
    meets the most others over all its buckets, which is the original in a group of its
    copies, and a class takes the one that most of its buckets name.  That settles groups
-   of copies with one check per copy.  Then
-   buckets that still hold different components are split by every other band, and
-   pairs from different components that share two bands are checked.  So texts with
-   one passage in common do not meet in pairs.  Pairs whose set sizes exclude a link
-   are left out.
+   of copies with one check per copy.  Documents of buckets that still hold different
+   components go on to an exact filter (`prefix_pairs`): two of them meet only if they
+   share an element among the rarest of both, early enough for a link.  So texts with
+   one passage in common, or somewhat unlike copies of one text, do not meet in pairs.
 4. Links are confirmed on the full shingle sets of both texts, and `connected_components`
    turns them into groups.
 
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqstates.llm.common import connected_components, materialize, mix64
@@ -181,6 +180,50 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long")
 
 
+def set_elements(texts: DataFrame) -> DataFrame:
+    """(doc_id, sum, n, element) of every element of the sets of (doc_id, text); `sum` tells sets of one id apart."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = shingles(text.as_py())
+                for i in range(0, len(held), CHUNK):
+                    part = held[i : i + CHUNK]
+                    constants = (doc_id, int(mix64(held).sum().view(np.int64)), len(held))
+                    columns = [pa.array(np.full(len(part), c, np.int64)) for c in constants]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(part.view(np.int64))], names=["doc_id", "sum", "n", "element"])
+
+    return texts.mapInArrow(flat, "doc_id long, sum long, n long, element long")
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `nodes` (doc_id, component) in different components that can be linked.
+
+    The elements of a set are ordered by how many of these sets hold them, the rarest first.
+    If the first element that two sets share has the places i and j, they share at most
+    min(n - i, m - j) elements.  So linked sets meet on an element that lies early enough in
+    both, and sets that share only what many others hold, too, do not meet.
+    """
+    held = texts.join(nodes.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    held = materialize(set_elements(held), "elements")
+    shared = held.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+    common = held.join(materialize(shared, "shared"), "element")
+    of_set = Window.partitionBy("doc_id", "sum")
+    place = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("df", "element")) - 1
+    early = common.withColumn("i", place).where(f"100 * (n - i) >= {THRESHOLD} * n")
+    early = materialize(early.select("doc_id", "n", "i", "element").join(nodes, "doc_id"), "early")
+    # The documents of an element's largest component need not meet each other.
+    sides = early.groupBy("element", "component").agg(F.count("*").alias("c")).groupBy("element")
+    sides = sides.agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("sides")).where("sides > 1")
+    early = early.join(materialize(sides.select("element", F.col("top.component").alias("top")), "sides"), "element")
+    early = materialize(early, "early")
+    x, y = early.where("component != top").alias("x"), early.alias("y")
+    reach = f"least(x.n - x.i, y.n - y.i) * {100 + THRESHOLD} >= {THRESHOLD} * (x.n + y.n)"
+    once = "x.component != y.component AND (y.component = y.top OR x.component < y.component)"
+    pairs = x.join(y, (F.col("x.element") == F.col("y.element")) & F.expr(once) & F.expr(reach))
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
 def _sizes_allow(small: str, large: str) -> str:
     return f"100 * least({small}, {large}) >= {THRESHOLD} * greatest({small}, {large})"
 
@@ -217,15 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(connected_components(links), "groups")
 
     grouped = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    grouped = grouped.select("key", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    grouped = materialize(grouped, "grouped")
-    apart = _mixed(grouped, "key").join(reps.select("doc_id", "bands"), "doc_id")
-    split = apart.selectExpr("key AS first_key", "doc_id", "n", "component", "posexplode(slice(bands, band + 2, size(bands))) AS (place, second)")
-    split = materialize(split.selectExpr("xxhash64(first_key, place, second) AS key", "doc_id", "n", "component"), "split")
-    apart = materialize(_mixed(split, "key"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    open_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & F.expr(_sizes_allow("x.n", "y.n")))
-    open_pairs = open_pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    grouped = grouped.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    open_docs = _mixed(materialize(grouped, "grouped"), "key").select("doc_id", "component").distinct()
+    open_pairs = prefix_pairs(materialize(open_docs, "open"), texts)
     links = links.union(confirm(open_pairs, texts))
     groups = connected_components(links)
 
