@@ -3,7 +3,8 @@
 Every language has a probability for each piece of a fixed public vocabulary.  A word's
 probability in a language is the sum over all ways to cut it into pieces, by the forward
 algorithm; a text's is the product over its words.  Pieces do not cross words, so the
-vector of a word over the languages is computed once and kept in a bounded cache.
+vector of a word over the languages is computed once and kept in a bounded cache.  The
+algorithm runs in numpy over blocks of words, one place of all words at a time.
 
 The piece probabilities are fitted by expectation maximisation over the same sums: words
 of a training sample are counted in Spark, every round computes expected piece counts by
@@ -19,7 +20,6 @@ columns cannot clash; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +35,8 @@ SAMPLE_BUCKETS, SAMPLE_PER_BUCKET = 64, 24
 ROUNDS = 3
 MAX_WORD = 32
 CACHE_WORDS = 400_000
+HELD_WORDS = 50_000  # words scored together
+AT_ONCE = 8_192  # words whose lattices are held at once
 SMOOTHING = 0.1
 UNSEEN = 1e-6  # probability of a letter that is no piece
 UNDETERMINED = "und"
@@ -66,50 +68,82 @@ def words(text: str | None) -> list[str]:
     return [w[i : i + MAX_WORD] for w in marked for i in range(0, len(w), MAX_WORD)]
 
 
-def tree(model: Model) -> dict[str, list[float]]:
-    """The pieces with their probabilities, and all beginnings of pieces with none."""
-    grown: dict[str, list[float]] = {p[:i]: [] for p in model for i in range(1, len(p))}
-    grown.update(model)
-    return grown
-
-
-def cuts(word: str, grown: dict[str, list[float]], unseen: list[float]) -> list[tuple[int, int, list[float]]]:
-    """(from, to, probabilities) of every piece that occurs in a word; each letter is one at least."""
-    found = []
-    known, size = grown.get, len(word)
-    for begin in range(size):
-        found.append((begin, begin + 1, known(word[begin]) or unseen))
-        for end in range(begin + 2, size + 1):
-            p = known(word[begin:end])
-            if p is None:
-                break
-            if p:
-                found.append((begin, end, p))
-    return found
-
-
-def forward(word: str, grown: dict[str, list[float]], languages: int) -> list[float]:
-    """Log probability of a word per language, summed over all its segmentations."""
-    reached = cuts(word, grown, [UNSEEN] * languages)
-    logs = []
-    for k in range(languages):
-        alpha = [1.0] + [0.0] * len(word)
-        for begin, end, p in reached:
-            alpha[end] += alpha[begin] * p[k]
-        logs.append(math.log(alpha[-1]))
-    return logs
-
-
-def expected_pieces(word: str, grown: dict[str, list[float]], k: int) -> list[tuple[str, float]]:
-    """Expected uses of every piece in a word, under language k."""
-    reached = cuts(word, grown, [UNSEEN] * (k + 1))
-    alpha = [1.0] + [0.0] * len(word)
-    for begin, end, p in reached:
-        alpha[end] += alpha[begin] * p[k]
-    beta = [0.0] * len(word) + [1.0]
-    for begin, end, p in reversed(reached):
-        beta[begin] += beta[end] * p[k]
-    return [(word[b:e], alpha[b] * p[k] * beta[e] / alpha[-1]) for b, e, p in reached]
+class Tree:
+    """The pieces as a tree of letters, in arrays: a step goes from a node and a letter to a node."""
+
+    def __init__(self, model: Model):
+        nodes = {"": 0}
+        for piece in model:
+            for i in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:i], len(nodes))
+        keys = np.array([nodes[p[:-1]] << 21 | ord(p[-1]) for p in nodes if p])
+        order = np.argsort(keys)
+        self.keys, self.children = keys[order], order + 1
+        self.pieces = list(model)
+        self.piece = np.full(len(nodes), -1)
+        self.piece[[nodes[p] for p in model]] = np.arange(len(model))
+        known = np.array(list(model.values()))
+        self.probabilities = np.vstack([known, np.full((1, known.shape[1]), UNSEEN)])  # -1 is a letter that is no piece
+
+    def step(self, nodes: np.ndarray | int, letters: np.ndarray) -> np.ndarray:
+        wanted = nodes << 21 | letters
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.children[at], -1)
+
+    def cuts(self, found: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, words, pieces): the words that have a piece at this place; each letter is one at least."""
+        width = max(map(len, found))
+        letters = np.array(found, f"U{width}").view(np.uint32).reshape(len(found), width).astype(np.int64)
+        for begin in range(width):
+            rows = np.flatnonzero(letters[:, begin])
+            nodes = self.step(0, letters[rows, begin])
+            yield begin, begin + 1, rows, np.where(nodes < 0, -1, self.piece[nodes])
+            for end in range(begin + 2, width + 1):
+                rows, nodes = rows[nodes >= 0], nodes[nodes >= 0]
+                if not len(rows):
+                    break
+                nodes = self.step(nodes, letters[rows, end - 1])
+                piece = np.where(nodes < 0, -1, self.piece[nodes])
+                yield begin, end, rows[piece >= 0], piece[piece >= 0]
+
+
+def tree(model: Model) -> Tree:
+    return Tree(model)
+
+
+def forward_all(found: list[str], grown: Tree) -> np.ndarray:
+    """Log probabilities (words x languages), each summed over all segmentations of the word."""
+    ends = np.array([len(w) for w in found])
+    alpha = np.zeros((ends.max() + 1, len(found), grown.probabilities.shape[1]))
+    alpha[0] = 1.0
+    for begin, end, rows, piece in grown.cuts(found):
+        alpha[end][rows] += alpha[begin][rows] * grown.probabilities[piece]
+    return np.log(alpha[ends, np.arange(len(found))])
+
+
+def shares(found: list[str], language: np.ndarray, grown: Tree) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, words, pieces, expected uses), each word under its own language."""
+    ends, every = np.array([len(w) for w in found]), np.arange(len(found))
+    reached = [(b, e, rows, piece, grown.probabilities[piece, language[rows]]) for b, e, rows, piece in grown.cuts(found)]
+    alpha = np.zeros((ends.max() + 1, len(found)))
+    beta = np.zeros_like(alpha)
+    alpha[0] = beta[ends, every] = 1.0
+    for begin, end, rows, _, p in reached:
+        alpha[end][rows] += alpha[begin][rows] * p
+    for begin, end, rows, _, p in reversed(reached):
+        beta[begin][rows] += beta[end][rows] * p
+    for begin, end, rows, piece, p in reached:
+        yield begin, end, rows, piece, alpha[begin][rows] * p * beta[end][rows] / beta[0][rows]
+
+
+def forward(word: str, grown: Tree, languages: int) -> list[float]:
+    """Of one word."""
+    return forward_all([word], grown)[0, :languages].tolist()
+
+
+def expected_pieces(word: str, grown: Tree, k: int) -> list[tuple[str, float]]:
+    """Expected uses of every piece in one word, under language k."""
+    return [(word[b:e], float(c)) for b, e, _, _, share in shares([word], np.array([k]), grown) for c in share]
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -153,15 +187,19 @@ def _round(found: DataFrame, languages: list[str], model: Model) -> Model:
     place = {lang: k for k, lang in enumerate(languages)}
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[str, str], float] = {}
         grown = tree(model)
+        totals = np.zeros((len(model), len(languages)))
         for batch in batches:
-            for lang, word, c in zip(*(column.to_pylist() for column in batch.columns)):
-                for piece, share in expected_pieces(word, grown, place[lang]):
-                    if piece in model:
-                        totals[lang, piece] = totals.get((lang, piece), 0.0) + c * share
-        columns = [pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.string())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(totals.values()), pa.float64())], names=["lang", "piece", "c"])
+            for begin in range(0, batch.num_rows, AT_ONCE):
+                langs, found, counts = (column.to_pylist() for column in batch.slice(begin, AT_ONCE).columns)
+                language, count = np.array([place[x] for x in langs]), np.array(counts)
+                for _, _, rows, piece, share in shares(found, language, grown):
+                    known = piece >= 0
+                    rows = rows[known]
+                    np.add.at(totals, (piece[known], language[rows]), count[rows] * share[known])
+        piece, language = np.nonzero(totals)
+        columns = [pa.array([languages[k] for k in language], pa.string()), pa.array([grown.pieces[i] for i in piece], pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(totals[piece, language])], names=["lang", "piece", "c"])
 
     # Rounded sums do not depend on the order of the rows.
     counts = found.mapInArrow(expected, "lang string, piece string, c double").groupBy("lang", "piece")
@@ -181,36 +219,44 @@ def predict(docs: DataFrame, languages: list[str], model: Model, id_col: str = "
         grown = tree(model)
         vectors = np.zeros((CACHE_WORDS, max(count, 1)))
 
-        def total(text: str | None) -> np.ndarray | None:
-            found = words(text)
-            if not found or not count:
-                return None
-            score = np.zeros(count)
-            for begin in range(0, len(found), 50_000):
-                part = found[begin : begin + 50_000]
+        def totals(held: list[list[str]]) -> np.ndarray:
+            scores = np.zeros((len(held), count))
+            owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            flat = [w for found in held for w in found]
+            for begin in range(0, len(flat) if count else 0, HELD_WORDS):
+                part = flat[begin : begin + HELD_WORDS]
                 if len(place) + len(part) > CACHE_WORDS:
                     place.clear()
-                for w in set(part).difference(place):
-                    vectors[len(place)] = forward(w, grown, count)
-                    place[w] = len(place)
-                score += vectors[[place[w] for w in part]].sum(axis=0)
-            return score
-
-        for batch in batches:
-            names, scores = [], []
-            for text in batch.column(1):
-                score = total(text.as_py())
-                if score is None:
+                fresh = sorted(set(part).difference(place), key=len)  # words of about one length share a block
+                for i in range(0, len(fresh), AT_ONCE):
+                    block = fresh[i : i + AT_ONCE]
+                    vectors[len(place) : len(place) + len(block)] = forward_all(block, grown)
+                    place.update(zip(block, range(len(place), len(place) + len(block))))
+                np.add.at(scores, owner[begin : begin + HELD_WORDS], vectors[[place[w] for w in part]])
+            return scores
+
+        def labelled(ids: list, folds: list, held: list[list[str]]) -> pa.RecordBatch:
+            names, likely = [], []
+            for found, score in zip(held, totals(held)):
+                if not found or not count:
                     names.append(UNDETERMINED)
-                    scores.append(0.0)
+                    likely.append(0.0)
                     continue
                 best = int(score.argmax())
                 names.append(languages[best])
-                scores.append(float(1.0 / np.exp(np.maximum(score - score[best], -700)).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
+                likely.append(float(1.0 / np.exp(np.maximum(score - score[best], -700)).sum()))
+            columns = [pa.array(ids, pa.int64()), pa.array(folds, pa.bool_()), pa.array(names, pa.string()), pa.array(likely, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
+
+        for batch in batches:
+            begin, held, size = 0, [], 0
+            ids, folds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, text in enumerate(batch.column(1)):
+                held.append(words(text.as_py()))
+                size += len(held[-1])
+                if size >= HELD_WORDS or i + 1 == len(ids):
+                    yield labelled(ids[begin : i + 1], folds[begin : i + 1], held)
+                    begin, held, size = i + 1, [], 0
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (crc_fold(F.col(id_col)) == 1).alias("held_out")
