@@ -185,10 +185,10 @@ def fit(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
 
 def _round(found: DataFrame, languages: list[str], model: Model) -> Model:
     place = {lang: k for k, lang in enumerate(languages)}
+    grown = tree(model)
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grown = tree(model)
-        totals = np.zeros((len(model), len(languages)))
+        totals = np.zeros((len(grown.pieces), len(languages)))
         for batch in batches:
             for begin in range(0, batch.num_rows, AT_ONCE):
                 langs, found, counts = (column.to_pylist() for column in batch.slice(begin, AT_ONCE).columns)
@@ -212,11 +212,10 @@ def _round(found: DataFrame, languages: list[str], model: Model) -> Model:
 
 def predict(docs: DataFrame, languages: list[str], model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; the score is the posterior of the prediction."""
-    count = len(languages)
+    count, grown = len(languages), tree(model)
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[str, int] = {}
-        grown = tree(model)
         vectors = np.zeros((CACHE_WORDS, max(count, 1)))
 
         def totals(held: list[list[str]]) -> np.ndarray:
