@@ -12,7 +12,10 @@ and line, is a duplicate of it, whether or not that one stays; all other lines s
    place, which a line with another word there shares, and one for the shorter line as a
    whole.  A running XOR of the words' hashes gives each key in constant time.
 4. Per key only the earliest form is kept, so no pairs are made, however many lines share
-   a key.  The earliest partner of a form is verified on the words of both.
+   a key.  For the shorter line these are two, the earliest line that has its words as a
+   whole and the earliest that lost one; each of the two kinds meets only the other, so
+   all partners are one word away.  The earliest partner of a form is verified on the
+   words of both.
 
 NULL texts stay NULL and have no lines.  Rows with equal id and text are one document and
 get the same result each; NULL ids come first.  All columns of the table are carried
@@ -91,14 +94,21 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = each.selectExpr(
         "form",
         "first",
-        "inline(array(struct(xxhash64(n, i, before, after) AS key),"
-        " struct(xxhash64(n - 1, before ^ after) AS key),"
-        " struct(if(i = 0, xxhash64(n, all), NULL) AS key)))",
+        "inline(array(struct(xxhash64(n, i, before, after) AS key, 'place' AS side),"
+        " struct(xxhash64(n - 1, before ^ after) AS key, 'shorter' AS side),"
+        " struct(if(i = 0, xxhash64(n, all), NULL) AS key, 'whole' AS side)))",
     ).where("key IS NOT NULL")
     keys = materialize(keys, "keys")
-    earliest = keys.groupBy("key").agg(F.min(F.struct("first", "form")).alias("best"), F.max("form").alias("hi"), F.min("form").alias("lo"))
-    earliest = materialize(earliest.where("lo != hi").select("key", "best"), "earliest")
-    found = keys.join(earliest, "key").where("best.first < first").groupBy("form").agg(F.min("best").alias("best"))
+    # Two forms that both lost a word may be two words apart: these meet only whole forms.
+    earliest = keys.groupBy("key").agg(
+        F.expr("min(struct(first, form)) FILTER (WHERE side != 'shorter')").alias("whole"),
+        F.expr("min(struct(first, form)) FILTER (WHERE side = 'shorter')").alias("shorter"),
+        F.max("form").alias("hi"),
+        F.min("form").alias("lo"),
+    )
+    earliest = materialize(earliest.where("lo != hi").select("key", "whole", "shorter"), "earliest")
+    best = F.expr("if(side = 'whole', shorter, whole)").alias("best")
+    found = keys.join(earliest, "key").select("form", "first", best).where("best.first < first").groupBy("form").agg(F.min("best").alias("best"))
     found = found.select("form", F.col("best.form").alias("partner"))
     found = materialize(found, "near")
 

@@ -136,3 +136,12 @@ def test_sql_on_hot_groups(spark, name):
     connection.register("documents", docs.toPandas())
     got = minhash.near_duplicates(docs) if name.startswith("op1") else lines.dedupe_lines(docs)
     assert differences(got, connection, queries.ORACLE[name]) is None
+
+
+def test_line_partner_behind_one_two_words_away(spark):
+    line = "one two three four five six seven eight nine ten".split()
+    inserted = lambda i, w: [*line[:i], w, *line[i:]]
+    texts = [inserted(2, "x"), line, inserted(6, "y"), [w + "'" for w in line], [w + "'" for w in [*line[1:4], line[0], *line[4:]]], [w + "'" for w in line[1:]]]
+    docs = [{"doc_id": i, "text": " ".join(w)} for i, w in enumerate(texts)]
+    got = {r.doc_id: r.text for r in lines.dedupe_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.text}
+    assert got == {r["doc_id"]: r["text"] for r in without_repeats(docs)} and set(got) == {0, 3, 4}
