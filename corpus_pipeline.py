@@ -2,7 +2,8 @@
 
 All stages but the last return the columns of `documents`.  NULL and empty texts have no
 letters and go in the first stage; the operators' docstrings say what holds for other odd
-rows.  An empty table gives an empty result.
+rows.  Stages decide per id and text, so a NULL or repeated id takes no other row along;
+rows with equal id and text are one document and go or stay together.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,12 +17,23 @@ from seqstates.llm.common import materialize, table
 LEAST_SCORE = 0.5  # of the predicted language
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with `_hash` of the text and `_row`: the id if it stands for one text, else a hash of both."""
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("_hash").alias("lo"), F.max("_hash").alias("hi"))
+    several = materialize(several.where("lo != hi").select(F.col("doc_id").alias("_several")), "several")
+    docs = docs.join(several, F.col("doc_id") == F.col("_several"), "left")
+    row = F.when(F.col("doc_id").isNull() | F.col("_several").isNotNull(), F.xxhash64(F.lit("row"), "doc_id", "_hash"))
+    return docs.withColumn("_row", row.otherwise(F.col("doc_id").cast("long"))).drop("_several")
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is not settled, go."""
-    named = langid.identify(docs)
+    rows = keyed(docs)
+    named = langid.identify(rows, id_col="_row")
     kept = named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     kept = materialize(kept.select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").where(F.col("text").rlike(r"\p{L}"))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +45,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group stays."""
-    dropped = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    """The first document of each group stays, by id and text hash; NULL ids come last."""
+    rows = keyed(docs)
+    near = minhash.near_duplicates(rows, id_col="_row")
+    near = materialize(near.select(F.col("doc_id").alias("_row"), "component_id", "kept"), "near")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")
+    first = near.join(rows.select("_row", "doc_id", "_hash"), "_row").groupBy("component_id").agg(F.min(place).alias("first"))
+    # Hashes as ids have no order: where they hide the first document, it changes places with the one kept.
+    moved = materialize(first.select("component_id", F.col("first._row").alias("_row")).where("_row != component_id"), "moved")
+    dropped = near.where("NOT kept").join(moved.select("_row"), "_row", "left_anti").select("_row")
+    dropped = dropped.union(moved.select("component_id")).select(F.col("_row").alias("_dropped")).distinct()
     dropped = materialize(dropped, "dropped")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,8 +75,8 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if size <= MAX_BROADCAST_BYTES else table
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_windows, n_changed): leaked items, their matched windows and changed slots."""
+def _passages(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_windows, n_changed) of every leaked passage."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
     own = _slotted(_templates(items, ["item_id"]), ["item_id"], "item_")
@@ -107,16 +107,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     equal = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     joined = counts.join(slots.withColumnsRenamed(names), equal, "left").join(_small(materialize(totals, "totals")), "item_id")
     joined = joined.where("pairs IS NULL OR (pairs = left AND pairs = right)")
-    joined = joined.where(f"n_windows >= least({ENOUGH}, (total + 1) div 2)")
+    return joined.where(f"n_windows >= least({ENOUGH}, (total + 1) div 2)")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_windows, n_changed): leaked items, their matched windows and changed slots."""
+    joined = _passages(docs, benchmark, id_col, text_col)
     best = F.max(F.struct("n_windows", (-F.coalesce("n_changed", F.lit(0))).alias("same"))).alias("best")
     return joined.groupBy("doc_id", "item_id").agg(best).selectExpr("doc_id", "item_id", "best.n_windows", "-best.same AS n_changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the table without a leak; NULL ids with a leak go, too."""
-    found = materialize(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    found = _small(found)
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_leaked"]), "left_anti")
+    """The rows of the table without a leak in their own text."""
+    found = _passages(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaked"), F.col("text_hash").alias("_leaked_hash")).distinct()
+    found = _small(materialize(found, "leaked"))
+    same = docs[id_col].cast("long").eqNullSafe(found["_leaked"]) & (F.xxhash64(docs[text_col]) == found["_leaked_hash"])
+    return docs.join(found, same, "left_anti")
 
 
 def _oracle() -> str:

@@ -145,3 +145,17 @@ def test_line_partner_behind_one_two_words_away(spark):
     docs = [{"doc_id": i, "text": " ".join(w)} for i, w in enumerate(texts)]
     got = {r.doc_id: r.text for r in lines.dedupe_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.text}
     assert got == {r["doc_id"]: r["text"] for r in without_repeats(docs)} and set(got) == {0, 3, 4}
+
+
+def test_only_the_deciding_rows_go(spark, sf_dir, monkeypatch):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    leak = table(spark, sf_dir, "benchmark").first().text
+    rows = [(5, text("a")), (None, text("a")), (None, text("b")), (7, text("a") + " end"), (7, text("c")), (None, leak), (8, leak), (8, text("d")), (9, text("c"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
+    pairs = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    near = [r for r in rows if r not in [(None, text("a")), (7, text("a") + " end"), (None, leak), (9, text("c"))]]
+    assert pairs(corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)) == sorted(near, key=str)
+    assert pairs(corpus_pipeline.drop_benchmark_leaks(spark, docs, sf_dir)) == sorted((r for r in rows if r[1] != leak), key=str)
+    named = lambda docs, id_col="doc_id": docs.selectExpr(f"{id_col} AS doc_id", "'en' AS lang_pred", "if(text LIKE 'b%' OR text LIKE 'd%', 1.0, 0.1) AS score")
+    monkeypatch.setattr(corpus_pipeline.langid, "identify", named)
+    assert pairs(corpus_pipeline.keep_known_language(spark, docs, sf_dir)) == sorted([(None, text("b")), (8, text("d"))], key=str)
