@@ -1,13 +1,14 @@
 """Benchmark decontamination by template windows.  DataFrame operations only.
 
 A text becomes a template: numbers, the units after them, and names (capitalised words
-inside a sentence) turn into typed placeholders, all other words into their letters in
-lower case.  A document and a benchmark item meet on equal windows of `WINDOW` template
+inside a sentence) turn into typed placeholders, whatever signs stand before them, all
+other words into their letters in lower case.  A document and a benchmark item meet on equal windows of `WINDOW` template
 words with at least `LITERALS` words among them.  Windows at one distance of their places
 (a diagonal) belong to one passage; its slots are consistent if each value of the item
-stands for one value of the document and the other way round.  A consistent passage
-counts as a leak if it has `ENOUGH` windows of the item, or half of them if the item has
-few.  If a slot differs, it is the question with new parameters.
+stands for one value of the document.  A consistent passage counts as a leak if it has
+`ENOUGH` windows of the item, or half of them if the item has few; of an inconsistent one
+only the windows without a slot count.  If a slot differs, it is the question with new
+parameters.
 
 The documents are read twice.  The first pass keeps only the documents that share a
 window hash with the benchmark, the second compares those in full.  The window hashes of
@@ -42,11 +43,12 @@ def _templates(texts: DataFrame, key: list[str]) -> DataFrame:
     quoted = SIGNS.replace("'", "\\'")
     plain = f"lower(translate(x, '{quoted}', ''))"
     is_number = "({0} >= '0' AND {0} < ':')"
-    first = "substring(x, 1, 1)"
+    first = f"substring(trim(LEADING '{quoted}' FROM x), 1, 1)"
+    before = f"substring(trim(LEADING '{quoted}' FROM raw[i - 1]), 1, 1)"
     units = ", ".join(f"'{u}'" for u in UNITS)
     kind = f"""CASE WHEN {is_number.format(first)} THEN '<number>'
         WHEN i > 0 AND {first} != lower({first}) AND x != upper(x) AND right(raw[i - 1], 1) NOT IN ('.', '!', '?') THEN '<name>'
-        WHEN i > 0 AND {is_number.format('substring(raw[i - 1], 1, 1)')} AND {plain} IN ({units}) THEN '<unit>'
+        WHEN i > 0 AND {is_number.format(before)} AND {plain} IN ({units}) THEN '<unit>'
         ELSE {plain} END"""
     rows = rows.select(*key, "raw", F.expr(f"transform(raw, (x, i) -> {kind})").alias("template"))
     return rows
@@ -99,14 +101,14 @@ def _passages(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str)
     slots = pairs.groupBy(*passage).agg(
         F.count("*").alias("pairs"),
         F.countDistinct("item_slots").alias("left"),
-        F.countDistinct("slots").alias("right"),
         F.count_if(F.col("item_slots") != F.col("slots")).alias("n_changed"),
     )
-    counts = met.groupBy(*passage).agg(F.countDistinct("item_place").alias("n_windows"))
+    free = F.when(F.size("slots") == 0, F.col("item_place"))
+    counts = met.groupBy(*passage).agg(F.countDistinct("item_place").alias("n_windows"), F.countDistinct(free).alias("n_free"))
     names = {c: f"_{c}" for c in passage}
     equal = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     joined = counts.join(slots.withColumnsRenamed(names), equal, "left").join(_small(materialize(totals, "totals")), "item_id")
-    joined = joined.where("pairs IS NULL OR (pairs = left AND pairs = right)")
+    joined = joined.withColumn("n_windows", F.expr("if(pairs IS NULL OR pairs = left, n_windows, n_free)"))
     return joined.where(f"n_windows >= least({ENOUGH}, (total + 1) div 2)")
 
 

@@ -159,3 +159,21 @@ def test_only_the_deciding_rows_go(spark, sf_dir, monkeypatch):
     named = lambda docs, id_col="doc_id": docs.selectExpr(f"{id_col} AS doc_id", "'en' AS lang_pred", "if(text LIKE 'b%' OR text LIKE 'd%', 1.0, 0.1) AS score")
     monkeypatch.setattr(corpus_pipeline.langid, "identify", named)
     assert pairs(corpus_pipeline.keep_known_language(spark, docs, sf_dir)) == sorted([(None, text("b")), (8, text("d"))], key=str)
+
+
+def test_leaks_behind_signs_and_one_odd_slot(spark):
+    plain = [f"p{c}" for c in "abcdefghijklmnopqrst"]
+    items = {
+        1: " ".join([*plain, "in 2019 and in 2019", *[f"q{w}" for w in plain]]),
+        2: "if a child buys 12 apples and later 7 pears then how many are in the bag that it carries home",
+        3: "a ticket costs $12 and a meal costs (15 or more so how much does one pay for them",
+        4: "then at last Anna walked to the shop and bought from Bert all that was left of it",
+    }
+    texts = {
+        1: items[1].replace("in 2019 and", "in 2020 and"),
+        2: items[2].replace("12", "9").replace("7", "9"),
+        3: items[3].replace("12", "31").replace("15", "17"),
+        4: items[4].replace("Anna", "(Maria").replace("Bert", '"Carl'),
+    }
+    docs, benchmark = (spark.createDataFrame(list(x.items()), f"{i} long, text string") for x, i in ((texts, "doc_id"), (items, "item_id")))
+    assert {(r.doc_id, r.item_id) for r in templates.leaks(docs, benchmark).collect()} == {(i, i) for i in items}
