@@ -263,7 +263,9 @@ def predict(docs: DataFrame, languages: list[str], model: Model, id_col: str = "
     return rows.mapInArrow(batches, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, **columns) -> DataFrame:
-    """Fit on the table and predict every row of it."""
-    languages, model = fit(docs, **columns)
-    return predict(docs, languages, model)
+def identify(
+    docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """Fit on the table and predict every row of it; rows come back under `doc_id`, whatever `id_col` is."""
+    languages, model = fit(docs, vocabulary, id_col, text_col, lang_col)
+    return predict(docs, languages, model, id_col, text_col)

@@ -1,6 +1,7 @@
 """The pipeline and the operators with SQL, on a small table of odd and planted rows."""
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -161,6 +162,19 @@ def test_only_the_deciding_rows_go(spark, sf_dir, monkeypatch):
     assert pairs(corpus_pipeline.keep_known_language(spark, docs, sf_dir)) == sorted([(None, text("b")), (8, text("d"))], key=str)
 
 
+def test_language_stage_keeps_null_and_shared_ids(spark, sf_dir):
+    """The real stage: rows without an id, rows of one id with several texts, repeated rows."""
+    rows = [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in table(spark, sf_dir, "documents").where("length(text) > 200").collect()]
+    changed = [(None if i % 3 == 0 else 7 if i % 3 == 1 else r[0], *r[1:]) for i, r in enumerate(rows)]
+    changed += [changed[0], changed[1], (None, "12 34 !?", "en", "s", 8), (7, None, "en", "s", 0)]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_known_language(spark, spark.createDataFrame(changed, DOC), sf_dir).collect())
+    wanted = Counter((r[0], r[1]) for r in changed[:-2])
+    assert not got - wanted
+    lost = wanted - got
+    assert sum(lost.values()) <= 0.02 * len(changed), lost
+    assert sum(n for (i, _), n in got.items() if i is None) >= 0.3 * len(rows) and sum(n for (i, _), n in got.items() if i == 7) >= 0.3 * len(rows)
+
+
 def test_leaks_behind_signs_and_one_odd_slot(spark):
     plain = [f"p{c}" for c in "abcdefghijklmnopqrst"]
     items = {
