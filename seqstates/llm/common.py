@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqstates.sources.scratch import materialize, shared_folder
+from seqstates.sources.scratch import materialize, shared_folder, sized_join
 
-__all__ = ["crc_fold", "is_held_out", "connected_components", "materialize", "mix64", "shared_folder", "table"]
+__all__ = ["crc_fold", "is_held_out", "connected_components", "materialize", "mix64", "ranked", "shared_folder", "sized_join", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,25 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 3 == 1
 
 
+def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`rows` with `rank`, from 0, and `total`, the number of rows, within every group.
+
+    The rows are range-partitioned on all columns named, so a group of any size, and any
+    number of rows that tie, are spread over tasks; tied rows get any order.  The layout is
+    written, as counts and rows have to see the same one.  Group columns must not be NULL.
+    """
+    keys = [*group, *order, "_tie"]
+    laid = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid = materialize(laid.drop("_tie").withColumn("_pos", F.monotonically_increasing_id()), "laid")
+    laid = laid.withColumn("_part", F.shiftright("_pos", 33))
+    runs = laid.groupBy(*group, "_part").agg(F.count("*").alias("c"), F.min("_pos").alias("first"))
+    whole = Window.partitionBy(*group)  # a row per partition of the layout
+    runs = runs.select(
+        *group, "_part", (F.sum("c").over(whole.orderBy("_part")) - F.col("c") - F.col("first")).alias("_shift"), F.sum("c").over(whole).alias("total")
+    )
+    return sized_join(laid, runs, [*group, "_part"]).withColumn("rank", F.col("_pos") + F.col("_shift")).drop("_pos", "_part", "_shift")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component): the smallest node reachable, for every node that has a link.
 

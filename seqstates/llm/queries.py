@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstates.llm import bpe, langid, lines, lzprint, minhash, pii, quality, ring, templates, warc
+from seqstates.llm import bpe, langid, lines, lzprint, merkle, minhash, pii, quality, ring, templates, warc
 from seqstates.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_lz_fingerprints": op2_lz_fingerprints,
@@ -61,9 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
     "op1_near_duplicates": minhash.ORACLE,
     "op5_line_dedup": lines.ORACLE,
     "op7_benchmark_leaks": templates.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
