@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstates.llm import bpe, langid, lines, lzprint, merkle, minhash, pii, quality, ring, templates, warc
+from seqstates.llm import bpe, langid, lines, lzprint, merkle, minhash, pii, quality, ring, suffixes, templates, warc
 from seqstates.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_lz_fingerprints": op2_lz_fingerprints,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_language": op10_language,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
 }
 ORACLE: dict[str, str] = {
     "op1_near_duplicates": minhash.ORACLE,
