@@ -27,14 +27,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqstates.llm.common import materialize, sized_join
 
 LENGTH = 200
 GRAM = 64
-HOT_BYTES = 64 << 10
+HOT_BYTES = 2 << 20
 SEGMENT = 1 << 19  # strings of a long text whose hashes are held at once
 BLOCK_BYTES = 1 << 20  # text whose suffixes are sorted at once
 HELD_BYTES = 16 << 20  # text from which buckets of a like size are put into one block
@@ -63,8 +63,8 @@ def suffix_order(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     texts take a step at a time, so that array operations do the work.
     """
     n, texts = len(symbols), len(bounds) - 1
-    text = np.repeat(np.arange(texts), np.diff(bounds))
-    keys = text * 257 + symbols
+    text = np.repeat(np.arange(texts, dtype=np.int32), np.diff(bounds))
+    keys = text.astype(np.int64) * 257 + symbols
     order = np.argsort(keys, kind="stable")
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -75,9 +75,10 @@ def suffix_order(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     group[order] = np.repeat(begin, size)
     end = np.zeros(n + 1, np.int64)  # by first place of a group
     end[begin] = begin + size
+    del keys
     left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
-    after, copies = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    moved = np.full(n, -1, np.int64)
+    after, copies = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    moved = np.full(n, -1, np.int32)
     floor = bounds[:-1] + np.bincount(text[symbols == 0], minlength=texts)
     top = bounds[1:].copy()
     open_texts, step = np.flatnonzero(top > floor), 0
@@ -130,7 +131,7 @@ def suffix_order(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     for a, b in zip(cut[:-1], cut[1:]):
         places = _ragged(begin[a:b], size[a:b])
         members = order[places]
-        by = np.lexsort((copies[members] * n + place[after[members]], np.repeat(np.arange(b - a), size[a:b])))
+        by = np.lexsort((copies[members].astype(np.int64) * n + place[after[members]], np.repeat(np.arange(b - a), size[a:b])))
         order[places], place[members[by]] = members[by], places
     return order
 
@@ -154,7 +155,7 @@ def repeated(pieces: list[bytes], counts: list[int], bounds: list[int], length:
     padded = np.zeros(len(raw) + 8, np.uint8)
     padded[everywhere] = data
     words = np.ndarray((len(raw),), "<u8", padded.data, strides=(1,))
-    bucket = np.repeat(np.arange(len(bounds) - 1), np.diff(np.r_[0, ends[np.asarray(bounds[1:]) - 1]]))
+    bucket = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(np.r_[0, ends[np.asarray(bounds[1:]) - 1]]))
     pair = np.flatnonzero(valid[order[1:]] & valid[order[:-1]] & (bucket[order[1:]] == bucket[order[:-1]]))
     for offset in (length - 8, *range(0, length - 8, 8)):
         pair = pair[words[order[pair] + offset] == words[order[pair + 1] + offset]]
@@ -233,6 +234,19 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[f.split()[1]]) for c, f in zip(columns, schema.split(", "))], names=names)
 
 
+def _union(span: Column) -> Column:
+    """Aggregate of the spans (a, b) of a text, with those that meet merged."""
+    none = F.array().cast(_SPANS)
+    last = lambda acc: F.element_at(acc, -1)
+
+    def add(acc: Column, s: Column) -> Column:
+        grown = F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], s["b"]).alias("b"))
+        meets = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["b"] >= s["a"])
+        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(F.collect_list(span)), none, add)
+
+
 _SPOTS = "k1 long, k2 long, anchor long, a int, b int"
 _CUT = "k1 long, k2 long, start int, anchor long, c1 long, c2 long, content binary"
 _COUNTED = "w1 long, w2 long, anchor long, c1 long, c2 long, at int, c long"
@@ -351,14 +365,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = one.select("text", *_TEXT)
 
     spots = materialize(_spots(one, length), "spots")
-    shared = spots.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    hits = spots.join(shared.hint("merge"), "anchor").groupBy(*_TEXT).agg(F.collect_list(F.struct("a", "b")).alias("wanted"))
-    wanted = F.expr(
-        "aggregate(array_sort(wanted), CAST(array() AS array<struct<a: int, b: int>>), (acc, s) -> CASE WHEN size(acc) > 0 AND acc[size(acc) - 1].b >= s.a"
-        " THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', acc[size(acc) - 1].a, 'b', greatest(acc[size(acc) - 1].b, s.b))))"
-        " ELSE concat(acc, array(s)) END)"
-    )
-    pieces = materialize(_contents(sized_join(one, hits.select(*_TEXT, wanted.alias("wanted")), _TEXT), length), "pieces")
+    # Written first, so that both sides of the join can be split where an anchor is frequent.
+    shared = materialize(spots.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "shared")
+    hits = spots.join(shared.hint("merge"), "anchor").groupBy(*_TEXT).agg(_union(F.struct("a", "b")).alias("wanted"))
+    pieces = materialize(_contents(sized_join(one, hits, _TEXT), length), "pieces")
 
     distinct = pieces.groupBy(*_PIECE).agg(F.count("*").alias("c"), F.first("content").alias("content"))
     distinct = materialize(distinct, "distinct")
@@ -372,7 +382,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     starts = pieces.select(*_TEXT, "start", *_PIECE).join(found, _PIECE)
     starts = starts.select(*_TEXT, F.explode(F.expr("transform(spans, s -> named_struct('a', s.a + start, 'b', s.b + start))")).alias("s"))
-    texts = starts.groupBy(*_TEXT).agg(F.collect_list("s").alias("spans"))
+    texts = starts.groupBy(*_TEXT).agg(_union(F.col("s")).alias("spans"))
     both = texts.select(*_TEXT, F.lit(False).alias("whole"), "spans").unionByName(
         copies.select(*_TEXT, F.lit(True).alias("whole"), F.lit(None).cast(_SPANS).alias("spans"))
     )
