@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqstates.llm import bpe, langid, lines, lzprint, merkle, minhash, pii, quality, ring, suffixes, templates, warc
+from seqstates.llm import bpe, langid, lines, lzprint, merkle, minhash, pii, prefixes, quality, ring, suffixes, templates, warc
 from seqstates.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_lz_fingerprints": op2_lz_fingerprints,
@@ -71,10 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_suffix_array_dedup": op12_suffix_array_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
     "op1_near_duplicates": minhash.ORACLE,
     "op5_line_dedup": lines.ORACLE,
     "op7_benchmark_leaks": templates.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op13_prefix_trie": prefixes.ORACLE,
 }
