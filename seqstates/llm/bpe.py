@@ -89,8 +89,10 @@ class Transducer:
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.pattern = word_pattern()
         self.lookahead = sufficient_lookahead(merges)
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.known: dict[str, tuple[str, ...]] = {}
+        # Chunks to ids, words to ids, ids to text: all as text, with at most CACHE_CHUNKS entries each.
+        self.cache: dict[str, str] = {}
+        self.known: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
 
     def symbols(self, word: str, start: int, length: int) -> Iterator[str]:
         """The symbols of a piece of a word; the last one of the word carries the end mark."""
@@ -155,30 +157,22 @@ class Transducer:
             del window[:used]
         yield from self.merge(window)
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """(number of tokens, ids as text, token strings) of a text without blanks."""
-        count, ids, names = 0, [], []
-        for word in self.pattern.findall(chunk):
-            tokens = self.known.get(word)
-            if tokens is None:
-                tokens = self.tokens(word)
-                if len(word) <= 64:
-                    if len(self.known) >= CACHE_CHUNKS:
-                        self.known.clear()
-                    tokens = self.known[word] = tuple(tokens)
-            for token in tokens:
-                count += 1
-                ids.append(str(self.vocab[token]))
-                names.append(token)
-        found = count, " ".join(ids), " ".join(names)
-        if len(chunk) <= 64:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = found
+    def word(self, word: str) -> str:
+        """Ids of a word as text."""
+        found = self.known.get(word)
+        if found is None:
+            found = " ".join([str(self.vocab[token]) for token in self.tokens(word)])
+            remember(self.known, word, found)
         return found
 
-    def blocks(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
-        """Encoded chunks of a text in order, a bounded part of the text at a time."""
+    def chunk(self, chunk: str) -> str:
+        """Ids, as text, of a text without blanks."""
+        found = " ".join(map(self.word, self.pattern.findall(chunk)))
+        remember(self.cache, chunk, found)
+        return found
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """Ids of a text in order, chunk by chunk, a bounded part of the text at a time."""
         known, done = self.cache.get, 0
         for match in itertools.chain(self.cut.finditer(text) if "<|" in text else (), (None,)):
             end = match.start() if match else len(text)
@@ -187,20 +181,28 @@ class Transducer:
                 stop = end if stop < 0 else stop
                 part = normalised(text[done:stop])
                 chunks = part.split() if _CONTROLS.search(part) is None else _BLANKS.split(part)
-                yield [known(c) or self.chunk(c) for c in chunks]
+                yield [ids for c in chunks if (ids := known(c) or self.chunk(c))]
                 done = stop
             if match:
-                yield [(1, str(self.special[match[0]]), match[0])]
+                yield [str(self.special[match[0]])]
                 done = match.end()
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for block in self.blocks(text or "") for _, ids, _ in block for i in ids.split()]
+        return [int(i) for block in self.blocks(text or "") for ids in block for i in ids.split()]
 
     def joined(self, ids: Iterable[int]) -> str:
         """Token strings joined by blanks."""
         return " ".join(self.names[i] for i in ids)
 
 
+def remember(cache: dict[str, str], key: str, value: str) -> None:
+    """Keep short entries, a bounded number of them."""
+    if len(key) <= 64:
+        if len(cache) >= CACHE_CHUNKS:
+            cache.clear()
+        cache[key] = value
+
+
 def normalised(text: str) -> str:
     """Composed and in lower case, character by character: a final sigma is no exception.
 
@@ -246,6 +248,26 @@ class Decoder:
         return self.pending.decode(b"", True)
 
 
+class Joiner:
+    """Incremental decoder of a file that names no decoder: the strings of the tokens, with a blank between two.
+
+    Takes ids as text, any number at a time, and gives the text they add.
+    """
+
+    def __init__(self, transducer: Transducer):
+        self.names, self.known, self.begun = transducer.names, transducer.decoded, False
+
+    def feed(self, ids: str) -> str:
+        text = self.known.get(ids)
+        if text is None:
+            text = " ".join([self.names[int(i)] for i in ids.split(" ")])
+            remember(self.known, ids, text)
+        if self.begun:
+            return " " + text
+        self.begun = True
+        return text
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -263,7 +285,7 @@ def transducer(path: str) -> Transducer:
 
 
 def encoded_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, hashed as the tokens come."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: ids as they are emitted, and the text that they decode to."""
     path = path or default_path()
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,14 +293,13 @@ def encoded_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column(1):
-                total, ids_hash, decoded_hash = 0, hashlib.sha256(), hashlib.sha256()
+                total, ids_hash, decoded_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Joiner(encoder)
                 for block in encoder.blocks(text.as_py() or ""):
-                    block = [x for x in block if x[0]]
                     if block:
-                        gap = " " if total else ""
-                        total += sum([x[0] for x in block])
-                        ids_hash.update((gap + " ".join([x[1] for x in block])).encode())
-                        decoded_hash.update((gap + " ".join([x[2] for x in block])).encode())
+                        emitted = (" " if total else "") + " ".join(block)
+                        total += emitted.count(" ") + (not total)
+                        ids_hash.update(emitted.encode())
+                        decoded_hash.update("".join(map(decoder.feed, block)).encode())
                 counts.append(total)
                 ids.append(ids_hash.hexdigest())
                 decoded.append(decoded_hash.hexdigest())
