@@ -89,10 +89,8 @@ class Transducer:
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.pattern = word_pattern()
         self.lookahead = sufficient_lookahead(merges)
-        # Chunks to ids, words to ids, ids to text: all as text, with at most CACHE_CHUNKS entries each.
-        self.cache: dict[str, str] = {}
-        self.known: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.shown = {str(i): t for i, t in self.names.items()}
+        self.cache: dict[str, str] = {}  # ids, as text, of words and of the chunks that they form
 
     def symbols(self, word: str, start: int, length: int) -> Iterator[str]:
         """The symbols of a piece of a word; the last one of the word carries the end mark."""
@@ -159,18 +157,27 @@ class Transducer:
 
     def word(self, word: str) -> str:
         """Ids of a word as text."""
-        found = self.known.get(word)
+        found = self.cache.get(word)
         if found is None:
             found = " ".join([str(self.vocab[token]) for token in self.tokens(word)])
-            remember(self.known, word, found)
+            self.remember(word, found)
         return found
 
     def chunk(self, chunk: str) -> str:
         """Ids, as text, of a text without blanks."""
-        found = " ".join(map(self.word, self.pattern.findall(chunk)))
-        remember(self.cache, chunk, found)
+        words = self.pattern.findall(chunk)
+        found = " ".join(map(self.word, words))
+        if len(words) != 1:
+            self.remember(chunk, found)
         return found
 
+    def remember(self, text: str, ids: str) -> None:
+        """Keep short entries, a bounded number of them."""
+        if len(text) <= 64:
+            if len(self.cache) >= CACHE_CHUNKS:
+                self.cache.clear()
+            self.cache[text] = ids
+
     def blocks(self, text: str) -> Iterator[list[str]]:
         """Ids of a text in order, chunk by chunk, a bounded part of the text at a time."""
         known, done = self.cache.get, 0
@@ -195,14 +202,6 @@ class Transducer:
         return " ".join(self.names[i] for i in ids)
 
 
-def remember(cache: dict[str, str], key: str, value: str) -> None:
-    """Keep short entries, a bounded number of them."""
-    if len(key) <= 64:
-        if len(cache) >= CACHE_CHUNKS:
-            cache.clear()
-        cache[key] = value
-
-
 def normalised(text: str) -> str:
     """Composed and in lower case, character by character: a final sigma is no exception.
 
@@ -255,13 +254,10 @@ class Joiner:
     """
 
     def __init__(self, transducer: Transducer):
-        self.names, self.known, self.begun = transducer.names, transducer.decoded, False
+        self.shown, self.begun = transducer.shown, False
 
     def feed(self, ids: str) -> str:
-        text = self.known.get(ids)
-        if text is None:
-            text = " ".join([self.names[int(i)] for i in ids.split(" ")])
-            remember(self.known, ids, text)
+        text = " ".join(map(self.shown.__getitem__, ids.split(" ")))
         if self.begun:
             return " " + text
         self.begun = True
@@ -296,10 +292,10 @@ def encoded_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc
                 total, ids_hash, decoded_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Joiner(encoder)
                 for block in encoder.blocks(text.as_py() or ""):
                     if block:
-                        emitted = (" " if total else "") + " ".join(block)
-                        total += emitted.count(" ") + (not total)
-                        ids_hash.update(emitted.encode())
-                        decoded_hash.update("".join(map(decoder.feed, block)).encode())
+                        emitted = " ".join(block)
+                        ids_hash.update(((" " if total else "") + emitted).encode())
+                        total += emitted.count(" ") + 1
+                        decoded_hash.update(decoder.feed(emitted).encode())
                 counts.append(total)
                 ids.append(ids_hash.hexdigest())
                 decoded.append(decoded_hash.hexdigest())
