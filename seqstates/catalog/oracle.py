@@ -275,6 +275,16 @@ def oracle_sql() -> dict[str, str]:
         "condition_ids": f"WITH {series_cte('ord_prio')}, {observed_cte(both_styles)} SELECT DISTINCT series_id,"
         f" condition_id, wrappers, 'ord_prio' || {process}, n AS n_symbols FROM obs",
         "sweep_runs": grid_runs + runs,
+        "stored_runs": f"SELECT * FROM ({model_ctes('ev_type', [1, 2, 3], GRID)} {runs}"
+        f" WHERE NOT (condition_id = '{GRID[1].condition_id}' AND k > 1))"
+        f" UNION ALL SELECT * FROM ({model_ctes('ev_type', [2, 3, 4], GRID[1:2], eps=0.1)} {runs})",
+        "stored_edges": " UNION ALL ".join(
+            f"SELECT *, 'last_' || k AS representation FROM ({model_ctes('ev_type', [k], eps=eps)}"
+            f" SELECT {MODEL}, state, sym, next_state, c, round(p, 10) + 0.0 AS p FROM edges)"
+            for k, eps in ((3, EPS), (2, 0.1))
+        ),
+        "resumed_runs": model_ctes("ev_type", [1, 2]) + runs,
+        "read_back_runs": model_ctes("ev_type", [1, 2], [Condition(0.2, 1)]) + runs,
         "sweep_runs_long": model_ctes("li_all", range(1, 11)) + runs,
         "sweep_runs_long_histories": model_ctes("ord_prio", [2, 61, 70]) + runs,
         "sweep_runs_one_series": model_ctes("li_all", [12, 16]) + runs,

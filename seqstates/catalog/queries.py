@@ -16,7 +16,8 @@ from seqstates.functions.text import extract_k
 from seqstates.operators import grams, machine, metrics, perturb, reconstruct
 from seqstates.operators.grams import MODEL, PLAIN
 from seqstates.plans import analysis, sweep
-from seqstates.sources.scratch import materialize
+from seqstates.sources import tables
+from seqstates.sources.scratch import materialize, scratch_path
 from seqstates.sources.series import bucketed_index, symbol_series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,6 +403,50 @@ def sweep_runs_short(spark, sf_dir):
     return rounded(_runs(spark, sf_dir, conv, "conv", [1, 2, 3, 8]), *RUN_DOUBLES)
 
 
+@query
+def stored_runs(spark, sf_dir):
+    """A store of runs that is written twice: some models of one condition are replaced, others are added, the rest stays."""
+    path = scratch_path(spark, "runs-store")
+    tables.put_runs(_runs(spark, sf_dir, ks=[1, 2, 3], conditions=GRID), path, ["series_id", "k"])
+    tables.put_runs(_runs(spark, sf_dir, ks=[2, 3, 4], conditions=GRID[1:2], eps=0.1), path, ["series_id", "k"])
+    return rounded(tables.read_stored(spark, path, tables.RUN_SCHEMA), *RUN_DOUBLES)
+
+
+@query
+def stored_edges(spark, sf_dir):
+    """A store of edges: one representation first, another one later, then the first anew with wider bins."""
+    path = scratch_path(spark, "edges-store")
+    series = ev_type(spark, sf_dir)
+    for k, eps in ((2, EPS), (3, EPS), (2, 0.1)):
+        edges = sweep.fitted_edges(sweep.fit(series, [k], eps=eps))
+        tables.put_edges(edges, path)
+        schema = machine.edges_for_representation(edges).schema
+    return rounded(tables.read_stored(spark, path, schema), "p")
+
+
+@query
+def resumed_runs(spark, sf_dir):
+    """A sweep over stored runs: only series that the store lacks are computed."""
+    path = scratch_path(spark, "runs-store")
+    series = materialize(ev_type(spark, sf_dir), "series")
+    tables.put_runs(sweep.sweep_runs(series.where("series_id < 'd'"), [1, 2], base_process="ev_type"), path)
+    wanted = series.select("series_id").distinct()
+    fresh = series.join(tables.not_stored(wanted, path, ["series_id"]), "series_id", "left_semi")
+    tables.put_runs(sweep.sweep_runs(fresh, [1, 2], base_process="ev_type"), path)
+    return rounded(tables.read_stored(spark, path, tables.RUN_SCHEMA), *RUN_DOUBLES)
+
+
+@query
+def read_back_runs(spark, sf_dir):
+    """Runs of two draws, kept apart by their seeds, written as text and read with a check of every cell."""
+    path = scratch_path(spark, "runs-csv")
+    noisy = [Condition(0.2, 1)]
+    for seed in (0, 1):
+        runs = _runs(spark, sf_dir, ks=[1, 2], conditions=noisy, seed=seed, keep_seeds=True)
+        tables.append_table(runs.where("draw_seed = 0"), path, "csv")
+    return rounded(tables.read_runs(spark, path), *RUN_DOUBLES)
+
+
 @query
 def extract_k_(spark, sf_dir):
     """k recovered from the names of plain and noisy representations."""

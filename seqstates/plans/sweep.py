@@ -18,7 +18,7 @@ from seqstates.operators.reconstruct import (
     transition_probs,
 )
 from seqstates.sources.scratch import materialize
-from seqstates.sources.tables import RUN_COLUMNS
+from seqstates.sources.tables import RUN_COLUMNS, SEED_COLUMNS
 
 
 def fit(
@@ -79,8 +79,12 @@ def run_rows(
     train_frac: float = 0.8,
     noisy: bool = False,
     reconstructor: str = "one_step",
+    seeds: tuple[int, int | None] | None = None,
 ) -> DataFrame:
-    """Run rows of a `fit` result, with one row for every model, however short its series."""
+    """Run rows of a `fit` result, with one row for every model, however short its series.
+
+    `seeds`, those of the draws and of the noise bit, become columns if given.
+    """
     scores = run_scores(fitted)
     ids = [F.lit(c.condition_id) for c in conditions]
     fields = _condition_fields(conditions, base_process)
@@ -94,7 +98,9 @@ def run_rows(
         representation_name(F.col("k"), noisy).alias("representation"),
         F.lit(RECONSTRUCTOR_NAMES[reconstructor]).alias("reconstructor"),
     )
-    return rows.select(*RUN_COLUMNS)
+    if seeds is None:
+        return rows.select(*RUN_COLUMNS)
+    return rows.select(*RUN_COLUMNS, *[F.lit(s).cast("long").alias(c) for s, c in zip(seeds, SEED_COLUMNS)])
 
 
 def sweep_runs(
@@ -108,8 +114,9 @@ def sweep_runs(
     seed: int = 0,
     noise_seed: int | None = None,
     reconstructor: str = "one_step",
+    keep_seeds: bool = False,
 ) -> DataFrame:
-    """One row of the runs table per (series, condition, k)."""
+    """One row of the runs table per (series, condition, k); with `keep_seeds` runs of several seeds can be told apart."""
     fitted = fit(
         series,
         ks,
@@ -128,4 +135,5 @@ def sweep_runs(
         train_frac=train_frac,
         noisy=noise_seed is not None,
         reconstructor=reconstructor,
+        seeds=(seed, noise_seed) if keep_seeds else None,
     )
