@@ -17,6 +17,7 @@ MODEL = "series_id, condition_id, k"
 
 SERIES = {
     "ev_type": ("events", "event_type", "ts, event_id", "value > 35"),
+    "ev_all": ("events", "'all'", "ts, event_id", "value > 35"),
     "ord_prio": ("orders", "o_orderpriority", "o_orderdate, o_orderkey", "o_totalprice > 250000"),
     "ord_status": ("orders", "o_orderstatus", "o_orderdate, o_orderkey", "o_totalprice > 250000"),
     "li_supp": ("lineitem", "l_suppkey", "l_shipdate, l_orderkey, l_linenumber, l_partkey", "l_quantity > 25"),
@@ -197,6 +198,7 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "symbol_series": f"{ser} SELECT series_id, t, x, length, latent FROM ser",
         "bucketed_index": f"WITH {series_cte('li_all')} SELECT series_id, t, x, length FROM ser",
+        "minute_buckets": f"WITH {series_cte('ev_all')} SELECT series_id, t, x, length FROM ser",
         "range_index": f"WITH {series_cte('ord_status')} SELECT series_id, t, x, length FROM ser",
         "flip_noise": f"{ser}, {observed_cte([Condition(0.2)])} SELECT series_id, t, x, length FROM obs",
         "subsample": f"{ser} SELECT series_id, t // 3 AS t, x, count(*) OVER (PARTITION BY series_id) AS length, latent"

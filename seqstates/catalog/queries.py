@@ -96,6 +96,14 @@ def bucketed_index_(spark, sf_dir):
     return li_all(spark, sf_dir)
 
 
+@query
+def minute_buckets(spark, sf_dir):
+    """All events as one series in buckets of a minute, whose offsets are summed in two levels."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)
+    return bucketed_index(events, ["ts", "event_id"], F.col("value") > 35, minute, max_window_buckets=0)
+
+
 @query
 def range_index(spark, sf_dir):
     """The write-once numbering that splits a series of any size over tasks."""

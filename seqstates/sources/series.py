@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from seqstates.sources.scratch import materialize, sized_join
 
 MAX_GROUP_ROWS = 4_000_000
+MAX_WINDOW_BUCKETS = 1_000_000  # of all series; more take the prefix sum in two levels, with the same result
 
 
 def _series_id(series: Sequence[str]) -> Column:
@@ -58,39 +59,92 @@ def _checked_place(window, order: Sequence[str]) -> Column:
 
 
 def _groups_fit(rows: DataFrame, max_group_rows: int) -> bool:
-    """Whether no (series, bucket) has more rows; small tables need only a plain count."""
+    """Whether no series has more rows; small tables need only a plain count."""
     if rows.count() <= max_group_rows:
         return True
-    counts = rows.groupBy("series_id", "bucket").agg(F.count("*").alias("c"))
+    counts = rows.groupBy("series_id").agg(F.count("*").alias("c"))
     return counts.agg(F.max("c")).first()[0] <= max_group_rows
 
 
+def _disorder() -> ValueError:
+    return ValueError("the bucket decreases along the order of a series, or falls between rows that are equal in it")
+
+
+def bucket_table(rows: DataFrame, order: Sequence[str], max_window_buckets: int = MAX_WINDOW_BUCKETS) -> tuple[DataFrame, int]:
+    """(series_id, bucket, c, offset, length) of every bucket: its rows, those before it, those of the series; and the largest c.
+
+    Ends the job if a bucket does not lie behind the one before it: the largest value of the
+    first order column in all earlier buckets is compared with the smallest one; where they
+    are equal, so are the rows with that value, on the whole order.
+    """
+    first = F.col(order[0])
+    counts = rows.groupBy("series_id", "bucket").agg(
+        F.count("*").alias("c"), F.min(first).alias("lo"), F.max(first).alias("hi"), F.count_if(first.isNull()).alias("nulls")
+    )
+    counts = materialize(counts, "buckets")
+    placed = _before_each(counts, max_window_buckets)
+    # NULL comes first, so no value may lie before it.
+    wrong = F.expr("lo < hi_before OR (nulls > 0 AND hi_before IS NOT NULL)")
+    equal = F.expr("lo = hi_before OR (nulls > 0 AND nulls_before > 0)")
+    bad, doubtful, largest = placed.agg(F.count_if(wrong), F.count_if(equal), F.max("c")).first()
+    if bad:
+        raise _disorder()
+    if doubtful:
+        value = F.when(F.col("nulls") > 0, F.lit(None)).otherwise(F.col("lo"))
+        shared = placed.where(equal).select("series_id", value.alias("value")).distinct()
+        shared = shared.withColumnRenamed("series_id", "of")
+        ends = rows.join(shared, (rows.series_id == shared.of) & first.eqNullSafe(shared.value), "left_semi")
+        key = F.struct(*order)
+        ends = ends.groupBy("series_id", order[0], "bucket").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+        earlier = Window.partitionBy("series_id", order[0]).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        if not ends.withColumn("hi_before", F.max("hi").over(earlier)).where("hi_before >= lo").isEmpty():
+            raise _disorder()
+    return placed.select("series_id", "bucket", "c", "offset", "length"), largest or 0
+
+
+def _before_each(counts: DataFrame, max_window_buckets: int) -> DataFrame:
+    """The buckets with what lies before each in its series: rows (`offset`), largest value, NULLs.
+
+    A table of many buckets is laid out in ranges; sums run inside each range and over the
+    totals of the ranges, so that the buckets of one series are never in one task.
+    """
+    sums = {"offset": F.sum("c"), "hi_before": F.max("hi"), "nulls_before": F.sum("nulls")}
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    length = F.sum("c").over(Window.partitionBy("series_id")).alias("length")
+    if counts.count() <= max_window_buckets:
+        found = counts.select("*", *[s.over(earlier(["series_id"], "bucket")).alias(n) for n, s in sums.items()], length)
+        return found.fillna(0, ["offset", "nulls_before"])
+    laid = counts.repartitionByRange("series_id", "bucket").withColumn("part", F.spark_partition_id())
+    laid = materialize(laid, "laid")
+    parts = laid.groupBy("series_id", "part").agg(F.sum("c").alias("c"), F.max("hi").alias("hi"), F.sum("nulls").alias("nulls"))
+    parts = parts.select("series_id", "part", *[s.over(earlier(["series_id"], "part")).alias(f"part_{n}") for n, s in sums.items()], length)
+    found = laid.withColumns({n: s.over(earlier(["series_id", "part"], "bucket")) for n, s in sums.items()})
+    found = sized_join(found, parts, ["series_id", "part"])
+    for n in ("offset", "nulls_before"):
+        found = found.withColumn(n, F.coalesce(n, F.lit(0)) + F.coalesce(f"part_{n}", F.lit(0)))
+    found = found.withColumn("hi_before", F.greatest("hi_before", "part_hi_before"))
+    return materialize(found.select(*counts.columns, *sums, "length"), "offsets")
+
+
 def _result(df: DataFrame) -> DataFrame:
     columns = ["series_id", "t", "x", "length"]
     return df.select(*columns, *[c for c in df.columns if c == "latent"])
 
 
-def grouped_index(rows: DataFrame, order: Sequence[str], bucketed: bool = True) -> DataFrame:
+def grouped_index(rows: DataFrame, order: Sequence[str], buckets: DataFrame | None = None) -> DataFrame:
     """Number rows within (series_id, bucket), then add the count of earlier buckets.
 
-    With one bucket per series the length is a window count on the same partitions.
-    With more, the merge join has the keys and the sort of the window, so it neither
+    Without buckets the length is a window count on the same partitions.
+    With a `bucket_table` the merge join has the keys and the sort of the window, so it neither
     shuffles nor sorts the rows again.
     """
-    if not bucketed:
+    if buckets is None:
         whole = Window.partitionBy("series_id")
         numbered = rows.withColumns(
             {"t": _checked_place(whole, order) - 1, "length": F.count("*").over(whole)}
         )
         return _result(numbered.withColumn("t", F.col("t").cast("long")))
-    counts = rows.groupBy("series_id", "bucket").agg(F.count("*").alias("c"))
-    whole = Window.partitionBy("series_id")
-    offsets = counts.select(
-        "series_id",
-        "bucket",
-        (F.sum("c").over(whole.orderBy("bucket")) - F.col("c")).alias("offset"),
-        F.sum("c").over(whole).alias("length"),
-    )
+    offsets = buckets.select("series_id", "bucket", "offset", "length")
     numbered = rows.withColumn("place", _checked_place(Window.partitionBy("series_id", "bucket"), order))
     joined = numbered.join(offsets.hint("merge"), ["series_id", "bucket"])
     return _result(joined.withColumn("t", F.col("offset") + F.col("place") - 1))
@@ -135,21 +189,24 @@ def symbol_series(
     latent: Column | None = None,
     method: str = "auto",
     max_group_rows: int = MAX_GROUP_ROWS,
+    max_window_buckets: int = MAX_WINDOW_BUCKETS,
 ) -> DataFrame:
     """0/1 series of `predicate` (NULL counts as 0) per `series` key, ordered by `order`.
 
     `order` has to be a total order within a series; equal rows end the job, in either way.  `bucket`, if given, is an
-    integer that must not decrease along `order` (the day of a timestamp, say); it
-    splits the sort of long series without a written table.  `method` is "auto", "group" or "range".
+    integer that must not decrease along `order` (the day of a timestamp, say), which is
+    checked; it splits the sort of long series without writing their rows.  `method` is "auto", "group" or "range".
     """
     if method not in ("auto", "group", "range"):
         raise ValueError(f"unknown method: {method}")
     rows, order_names = _keyed_rows(df, series, order, predicate, bucket, latent)
+    buckets, largest = (None, 0) if bucket is None else bucket_table(rows, order_names, max_window_buckets)
     if method == "auto":
-        method = "group" if _groups_fit(rows, max_group_rows) else "range"
+        fits = largest <= max_group_rows if bucket is not None else _groups_fit(rows, max_group_rows)
+        method = "group" if fits else "range"
     if method == "range":
         return range_index(rows, order_names)
-    return grouped_index(rows, order_names, bucketed=bucket is not None)
+    return grouped_index(rows, order_names, buckets)
 
 
 def bucketed_index(
@@ -170,7 +227,7 @@ def as_symbol_series(df: DataFrame) -> DataFrame:
     """
     missing = {"series_id", "t", "x"} - set(df.columns)
     if missing:
-        raise ValueError(f"Missing columns: {sorted(missing)}")
+        raise ValueError(f"a series needs {sorted(missing)}")
     # 62 positions share a word; as many different bits as rows means that no position
     # occurs twice, and with the largest one below the length that none is left out.
     bad = ~F.coalesce(F.col("x").isin(0, 1) & (F.col("t") >= 0), F.lit(False))

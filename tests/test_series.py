@@ -42,6 +42,49 @@ def test_all_ways_to_number_agree(skewed):
     assert numbered(skewed, method="range") == plain
 
 
+@pytest.mark.parametrize("method", ["auto", "group", "range"])
+@pytest.mark.parametrize("window", [0, 1_000_000])
+def test_decreasing_buckets_end_the_job(spark, method, window):
+    """In every way to number, whether the first order column shows it or only the whole order."""
+
+    def run(rows, bucket):
+        df = spark.createDataFrame(rows, "o1 int, o2 int, b int")
+        found = symbol_series(df, [], ["o1", "o2"], F.col("o2") % 2 == 0, bucket=bucket, method=method, max_window_buckets=window)
+        return [r.t for r in found.orderBy("t").collect()]
+
+    good = [(None, 1, -1), (None, 2, 0), (1, 1, 0), (1, 2, 1), (2, 0, 1), (2, 5, 3), (3, 0, 9)]
+    assert run(good, F.col("b")) == list(range(7))
+    for i, b in ((2, 4), (3, 0), (4, 0), (0, 1), (1, -2)):
+        bad = [*good[:i], (*good[i][:2], b), *good[i + 1 :]]
+        decreases = any(x[2] > y[2] for x, y in zip(bad, bad[1:]))
+        if decreases:
+            with pytest.raises(ValueError, match="bucket decreases"):
+                run(bad, F.col("b"))
+        else:
+            assert run(bad, F.col("b")) == list(range(7))
+    with pytest.raises(ValueError, match="bucket decreases"):
+        run([(1, 1, 0), (1, 1, 1)], F.col("b"))  # equal in all order columns
+
+
+def test_offsets_in_two_levels(spark, monkeypatch):
+    """200,000 buckets in one series and a few small ones: equal offsets, and no window over a series' buckets."""
+    from seqstates.sources import series as module
+
+    rows = spark.range(200_000).selectExpr("if(id % 50 = 0, concat('s', id % 7), 'hot') AS series_id", "id AS bucket", "id AS o0")
+    plain, largest = module.bucket_table(rows, ["o0"])
+    levels, same = module.bucket_table(rows, ["o0"], 0)
+    assert largest == same == 1
+    assert plain.exceptAll(levels).isEmpty() and plain.count() == levels.count() == 200_000
+    counts = materialized(rows.selectExpr("series_id", "bucket", "1L AS c", "o0 AS lo", "o0 AS hi", "0L AS nulls"))
+    written = []
+    real = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: written.append((label, df)) or real(df, label))
+    module._before_each(counts, 0)
+    plan = dict(written)["offsets"]._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("part" in line for line in windows)
+
+
 def test_large_groups_take_the_range_index(skewed, monkeypatch):
     taken = []
     import seqstates.sources.series as module
