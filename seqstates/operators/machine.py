@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqstates.conditions import Condition
 from seqstates.functions.text import fixed_text, representation_name
-from seqstates.operators.grams import MODEL
+from seqstates.operators.grams import MODEL, PLAIN
 
 PROB_EPSILON = 1e-12
 STRONG_P = 0.5
@@ -61,16 +62,20 @@ def clean_probabilities(edges: DataFrame, clamp: bool = True, eps: float = PROB_
     return edges.withColumn("p", clean_probability(F.col("p"), clamp, eps))
 
 
-def parallel_edges(edges: DataFrame, merge_parallel: bool = True) -> DataFrame:
-    """Symbols and probabilities per (state, next state), by ascending symbol.
+def parallel_edges(edges: DataFrame, merge_parallel: bool = True, order: Column | None = None) -> DataFrame:
+    """Symbols and probabilities per (state, next state), by ascending symbol or by another column of the edges.
 
+    Rows of a table have no order of their own, so edges that should keep the one in which
+    they were listed need a column with their place, `order`; ties go by symbol.
     A binary machine has at most two edges between two states, so the gathered
     arrays have at most two entries.  Not merged, each edge is a row of its own.
     """
     keys = [*MODEL, "state", "next_state"]
     symbols = F.struct("sym", "p")
     if merge_parallel:
-        return edges.groupBy(*keys).agg(F.sort_array(F.collect_list(symbols)).alias("symbols"))
+        placed = F.struct(F.col("sym").alias("place") if order is None else order.alias("place"), "sym", "p")
+        gathered = F.sort_array(F.collect_list(placed))
+        return edges.groupBy(*keys).agg(F.transform(gathered, lambda e: F.struct(e["sym"].alias("sym"), e["p"].alias("p"))).alias("symbols"))
     return edges.select(*keys, F.array(symbols).alias("symbols"))
 
 
@@ -152,11 +157,25 @@ def edge_classes(edges: DataFrame) -> DataFrame:
 def transition_listing(
     edges: DataFrame,
     representation: str,
-    series_id: str,
-    condition_id: str,
+    series_id: str | None = None,
+    condition_id: str | None = None,
     noisy: bool = False,
+    *,
+    conditions: Sequence[Condition] = PLAIN,
+    flip_p: float | None = None,
+    subsample_step: int | None = None,
 ) -> DataFrame:
-    """One machine as ordered lines such as `S0 --1: 0.411--> S1`."""
+    """One machine as ordered lines such as `S0 --1: 0.411--> S1`.
+
+    Without a series it is the first one by name.  Without a condition id, flip probability
+    and step choose the condition; what is left out is that of the first condition of the sweep.
+    """
+    if condition_id is None:
+        first = conditions[0]
+        chosen = (first.flip_p if flip_p is None else flip_p, first.subsample_step if subsample_step is None else subsample_step)
+        condition_id = Condition(*chosen, first.style).condition_id
+    if series_id is None:
+        series_id = edges.agg(F.min("series_id")).first()[0]
     machine = edges_for_representation(edges, representation, noisy).where(
         (F.col("series_id") == series_id) & (F.col("condition_id") == condition_id)
     )

@@ -164,10 +164,14 @@ def transition_counts(fitted: DataFrame) -> DataFrame:
 
 
 def state_occupancy(transitions: DataFrame) -> DataFrame:
-    """Share `pi` of the visited positions per state."""
-    counts = transitions.groupBy(*MODEL, "state").agg(F.sum("c").alias("c"))
-    total = F.sum("c").over(Window.partitionBy(*MODEL))
-    return counts.withColumn("pi", F.col("c") / total)
+    """Share `pi` of the visited positions per state.
+
+    A model may have as many states as contexts, so its total is combined on the map side
+    and joined, not summed in a window that would gather the model in one task.
+    """
+    counts = materialize(transitions.groupBy(*MODEL, "state").agg(F.sum("c").alias("c")), "occupancy")
+    totals = counts.groupBy(*MODEL).agg(F.sum("c").alias("total"))
+    return sized_join(counts, totals, MODEL, salt="state").withColumn("pi", F.col("c") / F.col("total")).drop("total")
 
 
 def transition_probs(transitions: DataFrame) -> DataFrame:

@@ -82,3 +82,19 @@ def test_condition_names():
 def test_extract_k(spark):
     df = spark.createDataFrame([("last_3",), ("last_12_noisy",), ("other",)], "r string")
     assert [r.k for r in df.select(extract_k(F.col("r")).alias("k")).collect()] == [3, 12, None]
+
+
+def test_symbols_in_the_order_of_a_column(spark):
+    edges = spark.createDataFrame([("a", "c", 1, 0, 1, 1, 0.9, 0), ("a", "c", 1, 0, 0, 1, 0.1, 1)], "series_id string, condition_id string, k int, state int, sym int, next_state int, p double, place int")
+    symbols = lambda **o: [s.sym for s in machine.parallel_edges(edges, **o).first().symbols]
+    assert symbols() == [0, 1] and symbols(order=F.col("place")) == [1, 0] and symbols(order=-F.col("p")) == [1, 0]
+
+
+def test_listing_defaults(spark):
+    grid = condition_grid([0.1, 0.2], [2, 1])
+    rows = [(s, c.condition_id, 1, 0, 1, 0, c.flip_p + c.subsample_step) for s in "ba" for c in grid]
+    edges = spark.createDataFrame(rows, "series_id string, condition_id string, k int, state int, sym int, next_state int, p double")
+    chosen = lambda **o: machine.transition_listing(edges, "last_1", conditions=grid, **o).first()
+    assert (chosen().series_id, chosen().condition_id) == ("a", "flip0.1_sub2")
+    assert chosen(flip_p=0.2).condition_id == "flip0.2_sub2" and chosen(subsample_step=1, series_id="b").condition_id == "flip0.1_sub1"
+    assert machine.transition_listing(edges, "last_1").count() == 0

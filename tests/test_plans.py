@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seqstates.catalog import queries as catalog
 from seqstates.operators.grams import contexts, histories
-from seqstates.operators.reconstruct import assign_states, context_stats, greedy_anchors, transition_rows
+from seqstates.operators.reconstruct import assign_states, context_stats, greedy_anchors, state_occupancy, transition_counts, transition_rows
 from seqstates.plans.sweep import run_rows
 from seqstates.operators.grams import PLAIN
 from seqstates.sources.scratch import materialize
@@ -24,8 +24,8 @@ def test_counting_reads_only_its_columns_and_needs_no_python(long_series):
     text = plan(histories(long_series, 10))
     assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text
     assert "l_extendedprice" not in text and "l_comment" not in text
-    # rows and bucket counts; counts to offsets and to the join; words, halo, histories
-    assert text.count("Exchange hashpartitioning") + text.count("Exchange SinglePartition") == 7
+    # rows; written bucket counts to their sums and to the join; words, halo, histories
+    assert text.count("Exchange hashpartitioning") + text.count("Exchange SinglePartition") == 6
 
 
 def test_contexts_spread_by_model_and_context(long_series):
@@ -49,6 +49,15 @@ def test_one_model_fills_all_partitions(spark, long_series):
     assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
 
 
+def test_no_model_is_gathered_for_its_total(long_series):
+    """Nothing is dealt out by model alone, at eps 0 neither, where a model has very many states."""
+    counted = materialize(contexts(long_series, [12]), "contexts")
+    found = state_occupancy(transition_counts(assign_states(counted, 0.0)))
+    text = plan(found)
+    assert "Window" not in text and "Exchange hashpartitioning" not in text
+    assert abs(found.agg(F.sum("pi")).first()[0] - 1) < 1e-9
+
+
 @pytest.mark.parametrize("eps", [0.05, 0.3])
 def test_anchors_by_rounds_equal_the_fold(long_series, eps):
     stats = context_stats(materialize(contexts(long_series, [3, 8]), "contexts"))
