@@ -149,11 +149,14 @@ long AS (SELECT doc_id, line, w, len(w) AS n FROM cut WHERE len(w) >= 8),
 forms AS (SELECT w, any_value(n) AS n, min((doc_id, line)) AS first FROM long GROUP BY w),
 places AS (SELECT w, n, first, unnest(range(1, n + 1)) AS i FROM forms),
 neighbours AS (
-  SELECT w, first, concat_ws(' ', n, i, array_to_string(w[1:i - 1], ' '), '/', array_to_string(w[i + 1:], ' ')) AS k FROM places
-  UNION SELECT w, first, concat_ws(' ', 'short', array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) FROM places
-  UNION SELECT w, first, concat_ws(' ', 'short', array_to_string(w, ' ')) FROM forms),
-earliest AS (SELECT k, min(first) AS best FROM neighbours GROUP BY k),
-partners AS (SELECT n.w, n.first, min(e.best) AS best FROM neighbours n JOIN earliest e USING (k) GROUP BY n.w, n.first),
+  SELECT 'place' AS side, w, first, concat_ws(' ', n, i, array_to_string(w[1:i - 1], ' '), '/', array_to_string(w[i + 1:], ' ')) AS k FROM places
+  UNION SELECT 'shorter', w, first, concat_ws(' ', 'short', array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) FROM places
+  UNION SELECT 'whole', w, first, concat_ws(' ', 'short', array_to_string(w, ' ')) FROM forms),
+-- Two forms that both lost a word may be two words apart: they meet only whole ones.
+earliest AS (
+  SELECT k, min(first) FILTER (WHERE side != 'shorter') AS whole, min(first) FILTER (WHERE side = 'shorter') AS shorter FROM neighbours GROUP BY k),
+partners AS (
+  SELECT n.w, n.first, min(CASE WHEN n.side = 'whole' THEN e.shorter ELSE e.whole END) AS best FROM neighbours n JOIN earliest e USING (k) GROUP BY n.w, n.first),
 gone AS (
   SELECT l.doc_id, l.line FROM long l JOIN partners p ON l.w = p.w
   WHERE p.best < p.first OR (l.doc_id, l.line) != p.first),

@@ -144,10 +144,24 @@ def test_line_partner_behind_one_two_words_away(spark):
     inserted = lambda i, w: [*line[:i], w, *line[i:]]
     texts = [inserted(2, "x"), line, inserted(6, "y"), [w + "'" for w in line], [w + "'" for w in [*line[1:4], line[0], *line[4:]]], [w + "'" for w in line[1:]]]
     docs = [{"doc_id": i, "text": " ".join(w)} for i, w in enumerate(texts)]
+    connection = duckdb.connect()
+    connection.register("documents", spark.createDataFrame(docs, "doc_id long, text string").toArrow())
+    assert differences(lines.dedupe_lines(spark.createDataFrame(docs, "doc_id long, text string")), connection, lines.ORACLE) is None
     got = {r.doc_id: r.text for r in lines.dedupe_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.text}
     assert got == {r["doc_id"]: r["text"] for r in without_repeats(docs)} and set(got) == {0, 3, 4}
 
 
+def test_lines_two_words_apart_stay(spark):
+    """Both lost a word to the same line, which is not there; the SQL agrees."""
+    line = "one two three four five six seven eight nine ten".split()
+    texts = [[*line[:i], w, *line[i:]] for i, w in ((2, "x"), (6, "y"))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    connection = duckdb.connect()
+    connection.register("documents", docs.toArrow())
+    got = lines.dedupe_lines(docs)
+    assert got.where("n_kept = 1").count() == 2 and differences(got, connection, lines.ORACLE) is None
+
+
 def test_only_the_deciding_rows_go(spark, sf_dir, monkeypatch):
     text = lambda c: " ".join(f"{c}{i}" for i in range(40))
     leak = table(spark, sf_dir, "benchmark").first().text
