@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 500_000
 SHORT = 24  # symbols that are merged by plain search
 BLOCK = 1_000_000  # characters encoded at once
 END = "</w>"
