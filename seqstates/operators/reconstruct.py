@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from seqstates.functions.codes import context_noise, context_text, is_text, no_context, successor
 from seqstates.operators.grams import MODEL
-from seqstates.sources.scratch import materialize, sized_join
+from seqstates.sources.scratch import materialize, release, sized_join
 from seqstates.sources.series import range_index
 
-MAX_GATHERED = 2_000_000  # distinct estimates of a model that one array may hold
+MAX_GATHERED = 2_000_000  # contexts of a model whose estimates one array may hold
+MAX_SEARCHED = 10_000  # anchors of a model that every context may search
 
 
 def is_noisy(contexts: DataFrame) -> bool:
@@ -48,20 +49,35 @@ def context_stats(contexts: DataFrame) -> DataFrame:
     return seen.select(*MODEL, "ctx", n.alias("n"), "n1", (F.col("n1") / n).alias("p_hat"))
 
 
+def _gathers(contexts: DataFrame, eps: float, max_gathered: int) -> bool:
+    """Whether the distinct estimates of a model may meet in one array.
+
+    The rows of the contexts, which a count of a written table gives without a shuffle, bound
+    the estimates.  With a fine `eps` the anchors may be as many as the estimates, and each
+    context would search them all.
+    """
+    most = contexts.count()
+    if most > max_gathered or (most > MAX_SEARCHED and eps * MAX_SEARCHED < 1):
+        most = contexts.groupBy(*MODEL).count().agg(F.max("count")).first()[0] or 0
+    return most <= max_gathered and (most <= MAX_SEARCHED or eps * MAX_SEARCHED >= 1)
+
+
 def greedy_anchors(stats: DataFrame, eps: float, max_gathered: int = MAX_GATHERED) -> DataFrame:
     """First `p_hat` of every bin, ascending, as one array per model.
 
-    A bin takes in estimates while they are within `eps` of its first one.  The distinct
-    estimates of all models are found by a shuffle on model and estimate.  Up to
-    `max_gathered` per model, which a count tells, one array per model is folded; with
-    more, each bin is the next smallest estimate of all models at once, so that no task
-    ever holds those of a model.  Both give the same anchors, 1/eps + 1 of them at most.
+    A bin takes in estimates while they are within `eps` of its first one.  Up to
+    `max_gathered` contexts in a model its distinct estimates are folded in one array; with
+    more the anchors are found by `linked_anchors`, where no task ever holds those of a
+    model.  Both give the same anchors, 1/eps + 1 of them at most.
     """
     estimates = stats.select(*MODEL, "p_hat").distinct()
-    most = estimates.groupBy(*MODEL).count().agg(F.max("count")).first()[0] or 0
-    if most > max_gathered:
-        return _anchors_by_rounds(materialize(estimates, "estimates"), eps)
+    if _gathers(stats, eps, max_gathered):
+        return _folded_anchors(estimates, eps)
+    linked = linked_anchors(materialize(estimates, "estimates"), eps)
+    return linked.groupBy(*MODEL).agg(F.sort_array(F.collect_list("p_hat")).alias("anchors"))
+
 
+def _folded_anchors(estimates: DataFrame, eps: float) -> DataFrame:
     def extend(anchors: Column, p: Column) -> Column:
         last = F.get(anchors, F.size(anchors) - 1)
         starts_bin = (F.size(anchors) == 0) | (F.abs(p - last) > F.lit(float(eps)))
@@ -72,21 +88,76 @@ def greedy_anchors(stats: DataFrame, eps: float, max_gathered: int = MAX_GATHERE
     return estimates.groupBy(*MODEL).agg(anchors.alias("anchors"))
 
 
-def _anchors_by_rounds(estimates: DataFrame, eps: float) -> DataFrame:
-    """One bin of every model per round, by a minimum that is combined on the map side."""
-    rounds = []
-    found = materialize(estimates.groupBy(*MODEL).agg(F.min("p_hat").alias("anchor")), "anchor")
-    while not found.isEmpty():
-        rounds.append(found)
-        ahead = sized_join(estimates, found, MODEL, salt="hash(p_hat)")
-        ahead = ahead.where(F.col("p_hat") - F.col("anchor") > F.lit(float(eps)))
-        found = materialize(ahead.groupBy(*MODEL).agg(F.min("p_hat").alias("anchor")), "anchor")
-    if not rounds:
-        return estimates.groupBy(*MODEL).agg(F.collect_list("p_hat").alias("anchors"))
-    whole = rounds[0]
-    for found in rounds[1:]:
-        whole = whole.union(found)
-    return whole.groupBy(*MODEL).agg(F.sort_array(F.collect_list("anchor")).alias("anchors"))
+def _farthest_within(eps: float) -> Column:
+    """The largest double whose difference from `p_hat`, as a double, is at most `eps`.
+
+    `p_hat + eps` is at most one double away from it; the candidates are its neighbours.
+    """
+    total = F.col("p_hat") + F.lit(float(eps))
+    step = total * F.lit(0.6 * 2.0**-52)  # rounds to the next double, up or down
+    near = F.array(total - step, total, total + step)
+    return F.coalesce(F.array_max(F.filter(near, lambda x: x - F.col("p_hat") <= F.lit(float(eps)))), F.col("p_hat"))
+
+
+def _successors(estimates: DataFrame, eps: float) -> DataFrame:
+    """(MODEL, p_hat, next): the smallest estimate more than `eps` above each that has one.
+
+    Estimates and the ends of their bins are laid out in one range-partitioned sort; the
+    next estimate behind an end lies in its range, or is the first of a later range.
+    """
+    rows = estimates.withColumn("end", _farthest_within(eps)).selectExpr(
+        *MODEL,
+        "inline(array(struct(p_hat AS at, false AS asks, p_hat), struct(end AS at, true AS asks, p_hat)))",
+    )
+    keys = [*MODEL, "at", "asks"]
+    laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("pos", F.monotonically_increasing_id())
+    laid = materialize(laid, "ends").withColumn("part", F.shiftright("pos", 33))
+    estimate = F.expr("if(asks, NULL, at)")
+    heads = laid.groupBy(*MODEL, "part").agg(F.min(estimate).alias("head"))
+    later = Window.partitionBy(*MODEL).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    heads = heads.select(*MODEL, "part", F.min("head").over(later).alias("later"))
+    behind = Window.partitionBy("part", *MODEL).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    found = laid.withColumn("here", F.min(estimate).over(behind)).where("asks")
+    found = sized_join(found, heads, [*MODEL, "part"]).withColumn("next", F.coalesce("here", "later"))
+    return found.where("next IS NOT NULL").select(*MODEL, "p_hat", "next")
+
+
+def linked_anchors(estimates: DataFrame, eps: float) -> DataFrame:
+    """(MODEL, p_hat) of the anchors, from a written table of the distinct estimates.
+
+    The anchors are the chain of successors from the smallest estimate on.  Each round
+    doubles the reach of all links and adds to the anchors found what their links reach, so
+    the rounds grow with the logarithm of 1/eps.  Links and anchors are keyed by model and
+    estimate, so a model of any size is spread over all tasks.
+    """
+    links = materialize(_successors(estimates, eps), "links")
+    found = materialize(estimates.groupBy(*MODEL).agg(F.min("p_hat").alias("p_hat")), "anchors")
+    while True:
+        reached = links.join(found, [*MODEL, "p_hat"]).select(*MODEL, F.col("next").alias("p_hat"))
+        reached = materialize(reached, "reached")
+        if reached.isEmpty():
+            return found
+        longer = materialize(found.union(reached), "anchors")
+        further = links.select(*MODEL, F.col("p_hat").alias("next"), F.col("next").alias("further"))
+        doubled = materialize(links.join(further, [*MODEL, "next"]).select(*MODEL, "p_hat", F.col("further").alias("next")), "links")
+        release(links, found, reached)
+        links, found = doubled, longer
+
+
+def _linked_states(contexts: DataFrame, eps: float) -> DataFrame:
+    """(MODEL, p_hat, state) of every distinct estimate: how many anchors lie below or at it, less one."""
+    estimates = materialize(context_stats(contexts).select(*MODEL, "p_hat").distinct(), "estimates")
+    anchors = linked_anchors(estimates, eps).withColumn("starts", F.lit(1))
+    marked = estimates.join(anchors, [*MODEL, "p_hat"], "left").fillna(0, ["starts"])
+    keys = [*MODEL, "p_hat"]
+    laid = marked.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("pos", F.monotonically_increasing_id())
+    laid = materialize(laid, "marked").withColumn("part", F.shiftright("pos", 33))
+    parts = laid.groupBy(*MODEL, "part").agg(F.sum("starts").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*MODEL).orderBy("part")) - F.col("c")
+    running = Window.partitionBy("part", *MODEL).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    counted = laid.withColumn("place", F.sum("starts").over(running))
+    counted = sized_join(counted, parts.select(*MODEL, "part", before.alias("before")), [*MODEL, "part"])
+    return counted.select(*keys, (F.col("before") + F.col("place") - 1).cast("int").alias("state"))
 
 
 def _bins_up_to(p: Column) -> Column:
@@ -101,7 +172,8 @@ def assign_states(contexts: DataFrame, eps: float = 0.02, max_gathered: int = MA
 
     `state` is NULL for contexts seen only in the test part and for the row that
     stands for the model.  With `eps` 0 every distinct estimate is a state, numbered by
-    a range-partitioned sort.
+    a range-partitioned sort; so are the bins of models that are too large, or whose `eps`
+    is too fine, for an array of anchors.
     """
     if not eps >= 0:
         raise ValueError(f"eps is a distance of probabilities, got {eps}")
@@ -113,7 +185,10 @@ def assign_states(contexts: DataFrame, eps: float = 0.02, max_gathered: int = MA
         ranked = range_index(keyed, ["p_hat"], keep=["p_hat"])
         ranked = ranked.select("series_id.*", "p_hat", F.col("t").cast("int").alias("state"))
         return sized_join(estimated, ranked, [*MODEL, "p_hat"], how="left").select(*estimated.columns, "state")
-    anchors = greedy_anchors(context_stats(contexts), eps, max_gathered)
+    if not _gathers(contexts, eps, max_gathered):
+        states = _linked_states(contexts, eps)
+        return sized_join(estimated, states, [*MODEL, "p_hat"], salt="hash(ctx)", how="left").select(*estimated.columns, "state")
+    anchors = _folded_anchors(context_stats(contexts).select(*MODEL, "p_hat").distinct(), eps)
     joined = sized_join(estimated, anchors, MODEL, salt="hash(ctx)", how="left")
     state = F.when(F.col("p_hat").isNotNull(), _bins_up_to(F.col("p_hat")) - 1)
     return joined.withColumn("state", state).drop("anchors")

@@ -49,7 +49,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.option("parquet.writer.version", "v2").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` returned, once all that is derived from them is written."""
+    for table in tables:
+        _written.remove((table.sparkSession, table._scratch_path))
+        _delete(table.sparkSession, table._scratch_path)
 
 
 def sized_join(
@@ -85,11 +94,15 @@ def drop_materialized(spark: SparkSession, since: int = 0) -> int:
     """
     dropped = 0
     while len(_written) > since:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop()[1])
-        dropped += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        dropped += _delete(spark, _written.pop()[1])
     return dropped
 
 
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def _written_bytes() -> int:
     """Size of the table written last."""
     spark, name = _written[-1]

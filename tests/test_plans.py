@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqstates.catalog import queries as catalog
+from seqstates.operators import reconstruct
 from seqstates.operators.grams import contexts, histories
-from seqstates.operators.reconstruct import assign_states, context_stats, greedy_anchors, state_occupancy, transition_counts, transition_rows
+from seqstates.operators.reconstruct import assign_states, context_stats, greedy_anchors, linked_anchors, state_occupancy, transition_counts, transition_rows
 from seqstates.plans.sweep import run_rows
 from seqstates.operators.grams import PLAIN
 from seqstates.sources.scratch import materialize
@@ -59,7 +60,34 @@ def test_no_model_is_gathered_for_its_total(long_series):
 
 
 @pytest.mark.parametrize("eps", [0.05, 0.3])
-def test_anchors_by_rounds_equal_the_fold(long_series, eps):
+def test_linked_anchors_equal_the_fold(long_series, eps):
     stats = context_stats(materialize(contexts(long_series, [3, 8]), "contexts"))
-    fold, rounds = greedy_anchors(stats, eps), greedy_anchors(stats, eps, max_gathered=0)
-    assert sorted(map(str, fold.collect())) == sorted(map(str, rounds.collect()))
+    fold, linked = greedy_anchors(stats, eps), greedy_anchors(stats, eps, max_gathered=0)
+    assert sorted(map(str, fold.collect())) == sorted(map(str, linked.collect()))
+
+
+@pytest.mark.parametrize("eps", [0.05, 0.3])
+def test_states_by_linked_anchors_equal_the_search(long_series, eps):
+    counted = materialize(contexts(long_series, [3, 8]), "contexts")
+    search, linked = assign_states(counted, eps), assign_states(counted, eps, max_gathered=0)
+    assert search.exceptAll(linked).isEmpty() and linked.exceptAll(search).isEmpty()
+    assert "Window" not in plan(search)
+
+
+def test_fine_eps_takes_few_rounds(spark, monkeypatch):
+    """1,900 bins, on differences that lie at eps but for their rounding too; no array holds the estimates."""
+    rounds = []
+    monkeypatch.setattr(reconstruct, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+    eps, ends = 0.0005, {}
+    values = {"even": [i * 0.0005 for i in range(2000)], "ratios": sorted({i / n for n in range(1, 120) for i in range(n + 1)})}
+    for name, ascending in values.items():
+        ends[name] = []
+        for p in ascending:
+            if not ends[name] or p - ends[name][-1] > eps:
+                ends[name].append(p)
+    rows = [(name, "c", 1, p) for name, v in values.items() for p in v]
+    estimates = spark.createDataFrame(rows, "series_id string, condition_id string, k int, p_hat double")
+    found = linked_anchors(materialize(estimates, "estimates"), eps)
+    got = {name: sorted(r.p_hat for r in found.where(F.col("series_id") == name).collect()) for name in values}
+    assert got == ends and max(len(v) for v in ends.values()) > 900
+    assert rounds.count("reached") <= 12
