@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from compare import differences
-from seqstates.llm import bpe, lines, minhash, templates
+from seqstates.llm import bpe, lines, minhash, queries, templates
 from seqstates.llm.common import table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,14 +30,21 @@ def one_word_apart(a, b):
     )
 
 
+def units(line):
+    s = line.strip(" ").lower()
+    if not s:
+        return None
+    return ("words", s.split(" ")) if s.count(" ") >= 7 else ("letters", list(s))
+
+
 def without_repeats(rows):
     seen, out = [], []
     for r in rows:
         kept = []
         for line in r["text"].split("\n"):
-            w = line.strip(" ").lower().split(" ")
-            if len(w) >= lines.MIN_WORDS:
-                if any(abs(len(w) - len(v)) <= 1 and (w == v or one_word_apart(w, v)) for v in seen):
+            w = units(line)
+            if w is not None:
+                if any(w == v or (len(w[1]) >= 8 and w[0] == v[0] and abs(len(w[1]) - len(v[1])) <= 1 and one_word_apart(w[1], v[1])) for v in seen):
                     seen.append(w)
                     continue
                 seen.append(w)
@@ -126,8 +133,6 @@ def test_new_parameters_and_inconsistent_slots(spark):
 @pytest.mark.parametrize("name", ["op1_near_duplicates", "op5_line_dedup"])
 def test_sql_on_hot_groups(spark, name):
     """A third of the rows are copies, another third near copies."""
-    from seqstates.llm import queries
-
     base = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join(base)) for i in range(60)]
     rows += [(100 + i, "\n".join(" ".join([*base[: i % 70], f"x{i}", *base[i % 70 + 1 :]][j : j + 20]) for j in range(0, 80, 20))) for i in range(60)]
@@ -205,3 +210,25 @@ def test_leaks_behind_signs_and_one_odd_slot(spark):
     }
     docs, benchmark = (spark.createDataFrame(list(x.items()), f"{i} long, text string") for x, i in ((texts, "doc_id"), (items, "item_id")))
     assert {(r.doc_id, r.item_id) for r in templates.leaks(docs, benchmark).collect()} == {(i, i) for i in items}
+
+
+def test_short_and_unspaced_lines(spark):
+    """Equal lines of every length go, near ones of few words by letters; lines two edits apart stay."""
+    spaced = "one two three four five six seven eight nine ten"
+    texts = [
+        "Menu\nAll rights reserved.\n\u6211\u4eec\u4eca\u5929\u53bb\u516c\u56ed\u6563\u6b65",
+        "menu\nAll rights reserved!\n\u6211\u4eec\u660e\u5929\u53bb\u516c\u56ed\u6563\u6b65\n\n",
+        "mens\n All right reserved. \n\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\n\n\U0001f600\U0001f601 smiles",
+        spaced.replace("two", "two x") + "\n\U0001f600\U0001f602 smiles\nabcdefg\nabcdefx",
+        spaced.replace("six", "six y") + "\none two three four five six seven\none two three four five six",
+        spaced + "\none two three four five six sevem\n" + spaced.replace("one", "none"),
+        spaced.replace("nine ", ""),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    connection = duckdb.connect()
+    connection.register("documents", docs.toPandas())
+    got = lines.dedupe_lines(docs)
+    assert differences(got, connection, queries.ORACLE["op5_line_dedup"]) is None
+    wanted = {r["doc_id"]: r["text"] for r in without_repeats([{"doc_id": i, "text": t} for i, t in enumerate(texts)])}
+    kept = {r.doc_id: r.text for r in got.collect()}
+    assert {i: t for i, t in kept.items() if t} == {i: t for i, t in wanted.items() if t}
