@@ -226,7 +226,9 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT {MODEL}, {role}, ctx, y, n_fit, n_trans FROM grams",
         "context_stats": model_ctes("li_supp", [1, 2, 3]) + "SELECT * FROM stats",
         "greedy_anchors": ev + "SELECT * FROM anchors",
+        "linked_anchors": ev + "SELECT * EXCLUDE (state) FROM anchors",
         "context_states": ev + "SELECT * FROM ctxs",
+        "context_states_linked": ev + "SELECT * FROM ctxs",
         "context_states_noisy": model_ctes("ev_type", noise_seed=NOISE_SEED)
         + f"SELECT {MODEL}, {noisy_ctx}, n, n1, p_hat, state FROM ctxs",
         "state_probabilities": ev + "SELECT * FROM states",

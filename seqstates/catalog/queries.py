@@ -206,6 +206,20 @@ def greedy_anchors(spark, sf_dir):
     return anchors.select(*MODEL, F.posexplode("anchors").alias("state", "anchor"))
 
 
+@query
+def linked_anchors(spark, sf_dir):
+    """The anchors of models that no array could hold."""
+    counted = materialize(grams.contexts(ev_type(spark, sf_dir), KS), "contexts")
+    estimates = materialize(reconstruct.context_stats(counted).select(*MODEL, "p_hat").distinct(), "estimates")
+    return reconstruct.linked_anchors(estimates, EPS).withColumnRenamed("p_hat", "anchor")
+
+
+@query
+def context_states_linked(spark, sf_dir):
+    counted = materialize(grams.contexts(ev_type(spark, sf_dir), KS), "contexts")
+    return reconstruct.context_states(reconstruct.assign_states(counted, EPS, max_gathered=0))
+
+
 @query
 def context_states(spark, sf_dir):
     return reconstruct.context_states(_fit(spark, sf_dir))
