@@ -77,7 +77,8 @@ def byte_characters() -> list[str]:
 class Transducer:
     """Encoder for one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+        self.cache_chunks = cache_chunks
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -174,7 +175,7 @@ class Transducer:
     def remember(self, text: str, ids: str) -> None:
         """Keep short entries, a bounded number of them."""
         if len(text) <= 64:
-            if len(self.cache) >= CACHE_CHUNKS:
+            if len(self.cache) >= self.cache_chunks:
                 self.cache.clear()
             self.cache[text] = ids
 
@@ -273,19 +274,25 @@ def default_path() -> str:
 _loaded: dict[str, Transducer] = {}
 
 
-def transducer(path: str) -> Transducer:
-    """One per process and file."""
+def transducer(path: str, cache_chunks: int = CACHE_CHUNKS) -> Transducer:
+    """One per process and file; the size of its cache is that of the last call."""
     if path not in _loaded:
         _loaded[path] = Transducer(path)
+    _loaded[path].cache_chunks = cache_chunks
     return _loaded[path]
 
 
-def encoded_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: ids as they are emitted, and the text that they decode to."""
+def encoded_digests(
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache_chunks: int = CACHE_CHUNKS
+) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: ids as they are emitted, and the text that they decode to.
+
+    `cache_chunks` bounds the memory of a worker; the results do not depend on it.
+    """
     path = path or default_path()
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = transducer(path)
+        encoder = transducer(path, cache_chunks)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column(1):

@@ -50,7 +50,9 @@ def test_decoder_gives_words_back():
 def test_table(spark):
     rows = [(1, "Some text 12."), (2, None), (3, ""), (4, "Some text 12."), (5, "word " * 9000), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", bpe.F.lit("clash"))
+    small = sorted(map(str, bpe.encoded_digests(docs, cache_chunks=1).collect()))
     got = {r.doc_id: r for r in bpe.encoded_digests(docs).collect()}
+    assert small == sorted(map(str, got.values()))
     for doc_id, text in rows:
         ids = LIBRARY.encode(text or "", add_special_tokens=False).ids
         assert got[doc_id].n_tokens == len(ids)
