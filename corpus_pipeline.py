@@ -15,6 +15,7 @@ from seqstates.llm import bpe, langid, lines, minhash, templates
 from seqstates.llm.common import materialize, table
 
 LEAST_SCORE = 0.5  # of the predicted language
+CACHE_CHUNKS = 200_000  # of the encoder, whose workers run beside executors that earlier stages have filled
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text."""
-    return bpe.encoded_digests(docs)
+    return bpe.encoded_digests(docs, cache_chunks=CACHE_CHUNKS)
 
 
 STAGES = [
