@@ -128,6 +128,8 @@ def test_new_parameters_and_inconsistent_slots(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r for r in templates.leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
     assert set(got) == {1, 2} and got[1].n_changed == 0 and got[2].n_changed >= 2
+    benchmark = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert differences(templates.leaks(docs, benchmark), duck(docs, benchmark), templates.ORACLE) is None
 
 
 @pytest.mark.parametrize("name", ["op1_near_duplicates", "op5_line_dedup"])
@@ -209,7 +211,40 @@ def test_leaks_behind_signs_and_one_odd_slot(spark):
         4: items[4].replace("Anna", "(Maria").replace("Bert", '"Carl'),
     }
     docs, benchmark = (spark.createDataFrame(list(x.items()), f"{i} long, text string") for x, i in ((texts, "doc_id"), (items, "item_id")))
-    assert {(r.doc_id, r.item_id) for r in templates.leaks(docs, benchmark).collect()} == {(i, i) for i in items}
+    found = templates.leaks(docs, benchmark)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in items}
+    assert differences(found, duck(docs, benchmark), templates.ORACLE) is None
+
+
+def duck(docs, benchmark):
+    connection = duckdb.connect()
+    connection.register("documents", docs.toArrow())
+    connection.register("benchmark", benchmark.toArrow())
+    return connection
+
+
+def test_items_without_a_template_window(spark):
+    """Short items and items full of values are found by their own words, whole; the SQL agrees."""
+    items = {
+        1: "Name the Largest Moon",
+        2: "What is the boiling point here",
+        3: "3 + 4 * 12 = 51 - 7 + 9 / 2 * 88",
+        4: "Anna Bert Carl Dora Emil Fritz Gustav Hanna Ida",
+        5: "yes", 6: "- - - - - - - - - -", 7: None, 8: "", 9: "a b c d e f g",
+    }
+    texts = {
+        1: "Quiz:\n  name the *largest* moon?  \nand so on", 2: "please name the largest moon of all",
+        3: "Q. What is the boiling point here? It is high", 4: "what is the boiling spot here",
+        5: "so 3 + 4 * 12 = 51 - 7 + 9 / 2 * 88 holds", 6: "so 3 + 4 * 12 = 51 - 7 + 8 / 1 * 80 holds",
+        7: "they are Anna Bert Carl Dora Emil Fritz Gustav Hanna Ida and more", 8: "they are Anna Carl Bert Dora Fritz Emil Gustav Ida Hanna",
+        9: "no\nYES\n", 10: "yes it is", 11: "| - - - - - - - - - - - |", 12: None, 13: "", 14: "a b c d e f", 15: "x a b c d e f g",
+    }
+    docs, benchmark = (spark.createDataFrame(list(x.items()), f"{i} long, text string") for x, i in ((texts, "doc_id"), (items, "item_id")))
+    found = templates.leaks(docs, benchmark)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (3, 2), (5, 3), (7, 4), (9, 5), (15, 9)}
+    assert differences(found, duck(docs, benchmark), templates.ORACLE) is None
+    kept = templates.decontaminate(docs, benchmark)
+    assert {r.doc_id for r in kept.collect()} == {2, 4, 6, 8, 10, 11, 12, 13, 14}
 
 
 def test_short_and_unspaced_lines(spark):
