@@ -75,10 +75,15 @@ def _places(words: str, size: int) -> str:
     return f"if(size({words}) >= {size}, sequence(1, size({words}) - {size - 1}), CAST(array() AS ARRAY<INT>))"
 
 
+def _window_hash() -> str:
+    """SQL text: the hash of the window of `hashes` at place `i`, by its elements, as a slice would be copied."""
+    return "xxhash64(" + ", ".join(f"hashes[i + {j}]" for j in range(-1, WINDOW - 1)) + ")"
+
+
 def _hashes(rows: DataFrame, key: list[str], sizes: list[int]) -> DataFrame:
     """(key, hash) of every window, also of those of `sizes` plain words, 0 standing for a line."""
     rows = rows.select("*", F.expr("transform(template, x -> xxhash64(x))").alias("hashes"))
-    windows = [F.expr(f"transform({_places('hashes', WINDOW)}, i -> xxhash64(slice(hashes, i, {WINDOW})))")]
+    windows = [F.expr(f"transform({_places('hashes', WINDOW)}, i -> {_window_hash()})")]
     if sizes:
         windows.append(F.transform(_own_words(sizes), lambda w: F.xxhash64(w["words"])))
     return rows.select(*key, F.explode(F.concat(*windows)).alias("hash"))
@@ -96,7 +101,7 @@ def _slotted(rows: DataFrame, key: list[str], extra: str) -> DataFrame:
     """Windows with the plain words of their slots."""
     values = "transform(plain, (x, i) -> if(substring(template[i], 1, 1) = '<', x, NULL))"
     rows = rows.withColumn("values", F.expr(values)).withColumn("hashes", F.expr("transform(template, x -> xxhash64(x))"))
-    window = f"struct(xxhash64(slice(hashes, i, {WINDOW})) AS hash, slice(template, i, {WINDOW}) AS words, filter(slice(values, i, {WINDOW}), v -> v IS NOT NULL) AS slots)"
+    window = f"struct({_window_hash()} AS hash, slice(template, i, {WINDOW}) AS words, filter(slice(values, i, {WINDOW}), v -> v IS NOT NULL) AS slots)"
     rows = rows.select(*key, F.posexplode(F.expr(f"transform({_places('template', WINDOW)}, i -> {window})")).alias(f"{extra}place", "w"))
     return rows.select(*key, f"{extra}place", F.col("w.hash").alias("hash"), F.col("w.words").alias("words"), F.col("w.slots").alias(f"{extra}slots"))
 
