@@ -77,11 +77,14 @@ def model_ctes(
     eps: float = EPS,
     noise_seed: int | None = None,
     train_frac: float = 0.8,
+    every: int = 1,
 ) -> str:
     """WITH clause up to machines and scores; a query uses the part it needs."""
-    k_max = max(ks)
+    k_max = every * (max(ks) - 1) + 1
     k_list = ", ".join(f"({k})" for k in ks)
     ctx, nxt = "right(h, k)", "right(h || y, k)"
+    if every > 1:
+        ctx, nxt = (f"array_to_string([({h})[-1 - {every} * j] FOR j IN range(k - 1, -1, -1)], '')" for h in ("h", "h || y"))
     if noise_seed is not None:
         bit = "CAST({} < 0.5 AS INTEGER)"
         z = bit.format(draw("'rep'", f"'{noise_seed}'", "(lt - 1)"))
@@ -97,7 +100,7 @@ hist AS (
   FROM parts),
 rep AS (
   SELECT series_id, condition_id, k, test, t, lt, n_role, {ctx} AS ctx, y, {nxt} AS nxt
-  FROM hist JOIN (VALUES {k_list}) ks(k) ON length(h) >= k),
+  FROM hist JOIN (VALUES {k_list}) ks(k) ON length(h) >= {every} * (k - 1) + 1),
 grams AS MATERIALIZED (
   SELECT series_id, condition_id, k, test, ctx, y, nxt, count(*) AS n_fit,
          count(*) FILTER (WHERE lt <= n_role - 2) AS n_trans
@@ -234,6 +237,8 @@ def oracle_sql() -> dict[str, str]:
         "state_probabilities": ev + "SELECT * FROM states",
         "transition_counts": ev + "SELECT * FROM trans",
         "state_occupancy": ev + "SELECT * FROM occ",
+        "every_second_edges": model_ctes("ev_type", [1, 2, 3], GRID, every=2)
+        + "SELECT *, 'every_second_' || k AS representation FROM edges",
         "transition_probs": ev + "SELECT * FROM edges",
         "state_symbol_counts": ev
         + f"SELECT {MODEL}, state, sym, CAST(sum(c) AS BIGINT) AS w FROM trans GROUP BY {MODEL}, state, sym",

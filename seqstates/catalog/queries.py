@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqstates.conditions import Condition, condition_grid
 from seqstates.functions.text import extract_k
-from seqstates.operators import grams, machine, metrics, perturb, reconstruct
+from seqstates.operators import grams, machine, metrics, perturb, reconstruct, represent
 from seqstates.operators.grams import MODEL, PLAIN
 from seqstates.plans import analysis, sweep
 from seqstates.sources import tables
@@ -245,6 +245,12 @@ def state_occupancy(spark, sf_dir):
     return reconstruct.state_occupancy(_transitions(spark, sf_dir))
 
 
+@query
+def every_second_edges(spark, sf_dir):
+    """Machines whose contexts hold every second symbol of the past."""
+    return represent.represented_edges(ev_type(spark, sf_dir), "every_second", [1, 2, 3], GRID, eps=EPS)
+
+
 @query
 def transition_probs(spark, sf_dir):
     return reconstruct.transition_probs(_transitions(spark, sf_dir))
