@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqstates.llm import bpe, langid, lines, minhash, templates
-from seqstates.llm.common import materialize, table
+from seqstates.llm.common import materialize, release, table, without
 
 LEAST_SCORE = 0.5  # of the predicted language
 CACHE_CHUNKS = 200_000  # of the encoder, whose workers run beside executors that earlier stages have filled
@@ -32,9 +32,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents without a letter, or whose language is not settled, go."""
     rows = keyed(docs)
     named = langid.identify(rows, id_col="_row")
-    kept = named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    kept = materialize(kept.select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    # All rows have a prediction, equal ones the same; those that go are the fewer to join with.
+    settled = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    gone = materialize(named.where(~F.coalesce(settled, F.lit(False))).select(F.col("doc_id").alias("_row")).distinct(), "gone")
+    return without(rows, gone, "_row").where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +56,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Hashes as ids have no order: where they hide the first document, it changes places with the one kept.
     moved = materialize(first.select("component_id", F.col("first._row").alias("_row")).where("_row != component_id"), "moved")
     dropped = near.where("NOT kept").join(moved.select("_row"), "_row", "left_anti").select("_row")
-    dropped = dropped.union(moved.select("component_id")).select(F.col("_row").alias("_dropped")).distinct()
+    dropped = dropped.union(moved.select("component_id")).distinct()
     dropped = materialize(dropped, "dropped")
-    return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
+    release(near, moved)
+    return without(rows, dropped, "_row").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

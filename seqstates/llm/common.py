@@ -9,9 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqstates.sources.scratch import materialize, shared_folder, sized_join
+from seqstates.sources.scratch import materialize, release, shared_folder, sized_join
 
-__all__ = ["crc_fold", "is_held_out", "connected_components", "materialize", "mix64", "ranked", "shared_folder", "sized_join", "table"]
+__all__ = ["crc_fold", "is_held_out", "connected_components", "materialize", "mix64", "ranked", "release", "shared_folder", "sieve", "sized_join", "table", "without"]
+
+SIEVE_WORDS = 1 << 18  # of 64 bits each, 4 MB when broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,28 @@ def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataF
     return sized_join(laid, runs, [*group, "_part"]).withColumn("rank", F.col("_pos") + F.col("_shift")).drop("_pos", "_part", "_shift")
 
 
+def sieve(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` sets a bit that one of the written table `wanted` sets; few others pass.
+
+    `key` is SQL for a 64-bit hash, of columns that both have.  A join that follows then
+    moves few rows without a partner, however large the rows are; NULL keys do not pass.
+    """
+    return _with_bits(rows, wanted, key, "inner").where(f"getbit(_bits, cast({key} & 63 AS int)) = 1").drop("_slot", "_bits")
+
+
+def _with_bits(rows: DataFrame, wanted: DataFrame, key: str, how: str) -> DataFrame:
+    slot = F.expr(f"pmod(shiftrightunsigned({key}, 6), {SIEVE_WORDS})")
+    bits = wanted.groupBy(slot.alias("_slot")).agg(F.expr(f"bit_or(shiftleft(1L, cast({key} & 63 AS int)))").alias("_bits"))
+    return rows.join(F.broadcast(bits), slot == F.col("_slot"), how)
+
+
+def without(rows: DataFrame, gone: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` is not in the written table `gone`; those that meet none of its bits stay without a shuffle."""
+    key = f"xxhash64({on})"
+    clear = _with_bits(rows, gone, key, "left").where(f"coalesce(getbit(_bits, cast({key} & 63 AS int)), 0) = 0")
+    return clear.drop("_slot", "_bits").unionByName(sieve(rows, gone, key).join(gone, on, "left_anti"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component): the smallest node reachable, for every node that has a link.
 
@@ -64,12 +88,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbours of a node on its smallest neighbour, the second does the same with its
     smaller ones; the number of rounds grows with the logarithm of the longest path.
     Smallest neighbours are combined on the map side and written, so that the join
-    with a node of very many links can be split.  Every round is a written table.
+    with a node of very many links can be split.  Every round is a written table, and
+    only the last one stays.
     """
 
-    def star(pairs: DataFrame, label: str) -> DataFrame:
-        smallest = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        return pairs.join(materialize(smallest, label), "u")
+    def smallest(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "stars")
 
     def fingerprint(table: DataFrame):
         return table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -79,10 +103,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = fingerprint(current)
     while before[0]:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hung = star(both, "stars").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = smallest(both)
+        hung = both.join(stars, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         hung = materialize(hung.distinct(), "hung")
-        starred = star(hung, "stars").selectExpr("inline(array(struct(u, m AS v), struct(v AS u, m AS v)))")
+        release(current, stars)
+        stars = smallest(hung)
+        starred = hung.join(stars, "u").selectExpr("inline(array(struct(u, m AS v), struct(v AS u, m AS v)))")
         current = materialize(starred.where("u != v").distinct(), "links")
+        release(hung, stars)
         after = fingerprint(current)
         if after == before:
             break

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqstates.llm.common import crc_fold, materialize
+from seqstates.llm.common import crc_fold, materialize, release
 
 SAMPLE_BUCKETS, SAMPLE_PER_BUCKET = 64, 24
 ROUNDS = 3
@@ -180,6 +180,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     model: Model = {p: [1.0 / len(known)] * len(languages) for p in known}
     for _ in range(ROUNDS if languages else 0):
         model = _round(found, languages, model)
+    release(found)
     return languages, model
 
 

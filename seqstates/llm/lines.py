@@ -14,7 +14,8 @@ Empty lines stay.
    occurrence, which stands for the form from then on.
 2. Two lines one unit apart share their first or their last half, so a form without a
    partner for any of its halves needs no neighbourhood.  The text of those that have one
-   is read anew, by way of a broadcast table of bits, whose size is fixed.
+   is read anew, by way of a broadcast table of bits, whose size is fixed.  Keys that no
+   other form has do not pass such a table, so most of them are shuffled only once.
 3. These forms emit a key per unit, for the form without that unit: one that holds the
    place, which a line with another unit there shares, and one for the shorter line as a
    whole.  A running XOR of the units' hashes gives each key in constant time.
@@ -35,11 +36,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqstates.llm.common import materialize
-from seqstates.sources.scratch import release
+from seqstates.llm.common import materialize, release, sieve
 
 MIN_UNITS = 8
-SIEVE_WORDS = 1 << 18  # of 64 bits each, 4 MB when broadcast
 PLACE = ["doc_id", "text_hash", "line"]
 HASH = ["h1", "h2"]
 
@@ -71,27 +70,19 @@ def _half_keys() -> list[str]:
     return [f"if(n >= {MIN_UNITS}, {key}, NULL)" for key in keys]
 
 
-def _sieve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose `h1` sets a bit that one of the written table `wanted` sets; few others pass."""
-    slot = F.expr(f"pmod(shiftrightunsigned(h1, 6), {SIEVE_WORDS})")
-    bits = wanted.groupBy(slot.alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(h1 & 63 AS int)))").alias("bits"))
-    passed = rows.join(F.broadcast(bits), slot == F.col("slot")).where("getbit(bits, cast(h1 & 63 AS int)) = 1")
-    return passed.drop("slot", "bits")
-
-
 def _near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line) of the forms that have an earlier form one unit away."""
     halves = forms.select("h1", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("key")).where("key IS NOT NULL")
     shared = halves.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key")
     shared = materialize(shared, "shared")
     each = forms.select(*HASH, "first.*", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("key"))
-    partnered = each.join(shared, "key", "left_semi").select(*HASH, *PLACE).distinct()
+    partnered = sieve(each, shared, "key").join(shared, "key", "left_semi").select(*HASH, *PLACE).distinct()
     partnered = materialize(partnered, "partnered")
 
     # The text of the forms with a partner, from their first occurrence only.
     place = partnered.select(*[F.col(c).alias(f"_{c}") for c in PLACE])
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("line") == F.col("_line"))
-    words = _with_units(_sieve(lines, partnered)).join(place, same, "left_semi").dropDuplicates(PLACE)
+    words = _with_units(sieve(lines, partnered, "h1")).join(place, same, "left_semi").dropDuplicates(PLACE)
     words = words.selectExpr(*PLACE, "by_words", "n", "if(by_words, split(words, ' '), split(words, '')) AS units")
     words = materialize(words, "words")
 
@@ -125,7 +116,7 @@ def _near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
     earliest = earliest.where("latest > least(whole, shorter)").select("key", "whole", "shorter")
     earliest = materialize(earliest, "earliest")
     best = F.expr("if(side = 'whole', shorter, whole)").alias("best")
-    found = keys.join(earliest, "key").select("first", best).where("best < first").groupBy("first").agg(F.min("best").alias("best"))
+    found = sieve(keys, earliest, "key").join(earliest, "key").select("first", best).where("best < first").groupBy("first").agg(F.min("best").alias("best"))
     found = materialize(found.select(*[F.col(f"first.{c}") for c in PLACE], *[F.col(f"best.{c}").alias(f"{c}2") for c in PLACE]), "partners")
     release(shared, partnered, keys, earliest)
 
@@ -155,7 +146,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     going = forms.join(same, F.col("first").eqNullSafe(F.col("near")), "left").where("c > 1 OR near IS NOT NULL")
     going = materialize(going.select(*HASH, "first", F.col("near").isNotNull().alias("near")), "going")
     release(forms, near)
-    gone = _sieve(lines.drop("words"), going).join(going, HASH)
+    gone = sieve(lines.drop("words"), going, "h1").join(going, HASH)
     gone = gone.where(F.col("near") | (F.col("first") != F.struct(*PLACE)))
     removed = materialize(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("removed")), "removed")
     release(going)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqstates.llm.common import connected_components, materialize, mix64
+from seqstates.llm.common import connected_components, materialize, mix64, release, sieve
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -207,21 +207,26 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     held = texts.join(nodes.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     held = materialize(set_elements(held), "elements")
     shared = held.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
-    common = held.join(materialize(shared, "shared"), "element")
+    shared = materialize(shared, "shared")
+    common = held.join(shared, "element")
     of_set = Window.partitionBy("doc_id", "sum")
     place = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("df", "element")) - 1
     early = common.withColumn("i", place).where(f"100 * (n - i) >= {THRESHOLD} * n")
-    early = materialize(early.select("doc_id", "n", "i", "element").join(nodes, "doc_id"), "early")
+    first = materialize(early.select("doc_id", "n", "i", "element").join(nodes, "doc_id"), "early")
+    release(held, shared)
     # The documents of an element's largest component need not meet each other.
-    sides = early.groupBy("element", "component").agg(F.count("*").alias("c")).groupBy("element")
+    sides = first.groupBy("element", "component").agg(F.count("*").alias("c")).groupBy("element")
     sides = sides.agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("sides")).where("sides > 1")
-    early = early.join(materialize(sides.select("element", F.col("top.component").alias("top")), "sides"), "element")
-    early = materialize(early, "early")
+    sides = materialize(sides.select("element", F.col("top.component").alias("top")), "sides")
+    early = materialize(first.join(sides, "element"), "early")
+    release(first, sides)
     x, y = early.where("component != top").alias("x"), early.alias("y")
     reach = f"least(x.n - x.i, y.n - y.i) * {100 + THRESHOLD} >= {THRESHOLD} * (x.n + y.n)"
     once = "x.component != y.component AND (y.component = y.top OR x.component < y.component)"
     pairs = x.join(y, (F.col("x.element") == F.col("y.element")) & F.expr(once) & F.expr(reach))
-    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    pairs = materialize(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
+    release(early)
+    return pairs
 
 
 def _sizes_allow(small: str, large: str) -> str:
@@ -229,46 +234,59 @@ def _sizes_allow(small: str, large: str) -> str:
 
 
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """The rows of keys that occur in more than one component."""
+    """Keys of the rows that occur in more than one component."""
     mixed = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    return rows.join(materialize(mixed.select(key), "mixed"), key)
+    return materialize(mixed.select(key), "mixed")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+    """(doc_id, n_shingles, component_id, kept) of every row.
+
+    Bands and texts without a partner are left out by `sieve` before they are shuffled, and
+    written tables go after their last use: of the bands no copy stays.
+    """
     sets = materialize(document_sets(docs, id_col, text_col), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     reps = materialize(reps.select("doc_id", "n_shingles", "bands"), "reps")
-    keys = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    sizes = materialize(sets.drop("bands"), "sizes")
+    release(sets)
+    keys = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
     buckets = materialize(buckets.where("lo != hi").select("key", "c"), "buckets")
-    members = materialize(keys.join(buckets, "key"), "met")
-    met = members.groupBy("doc_id").agg(F.sum("c").alias("met"))
-    centers = members.join(met, "doc_id").groupBy("key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("id"), "n")).alias("best"))
-    centers = centers.select("key", (-F.col("best.id")).alias("center"), F.col("best.n").alias("center_n"))
-    members = materialize(members.drop("c").join(materialize(centers, "centers"), "key"), "members")
+    found = materialize(sieve(keys, buckets, "key").join(buckets, "key"), "met")
+    release(reps, buckets)
+    met = found.groupBy("doc_id").agg(F.sum("c").alias("met"))
+    centers = found.join(met, "doc_id").groupBy("key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("id"), "n")).alias("best"))
+    centers = materialize(centers.select("key", (-F.col("best.id")).alias("center"), F.col("best.n").alias("center_n")), "centers")
+    members = materialize(found.drop("c").join(centers, "key"), "members")
+    release(found, centers)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = materialize(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    texts = sieve(texts, members, "xxhash64(doc_id)").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = materialize(texts, "texts")
     shared = members.where("doc_id != center").where(_sizes_allow("n", "center_n"))
     shared = shared.groupBy("doc_id", "center").agg(F.count("*").alias("bands"))
     best = shared.groupBy("doc_id").agg(F.max(F.struct("bands", (-F.col("center")).alias("c"))).alias("best"))
     nearest = best.select(F.col("doc_id").alias("a"), (-F.col("best.c")).alias("b"))
-    links = materialize(confirm(nearest, texts), "confirmed")
-    groups = materialize(connected_components(links), "groups")
+    confirmed = materialize(confirm(nearest, texts), "confirmed")
+    groups = materialize(connected_components(confirmed), "groups")
 
     grouped = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     grouped = grouped.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_docs = _mixed(materialize(grouped, "grouped"), "key").select("doc_id", "component").distinct()
-    open_pairs = prefix_pairs(materialize(open_docs, "open"), texts)
-    links = links.union(confirm(open_pairs, texts))
-    groups = connected_components(links)
+    grouped = materialize(grouped, "grouped")
+    release(members, groups)
+    mixed = _mixed(grouped, "key")
+    open_docs = materialize(grouped.join(mixed, "key").select("doc_id", "component").distinct(), "open")
+    release(grouped, mixed)
+    open_pairs = prefix_pairs(open_docs, texts)
+    groups = connected_components(confirmed.union(confirm(open_pairs, texts)))
+    release(open_docs, open_pairs, texts, confirmed)
 
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    rows = sets.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    rows = sizes.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.expr("doc_id <=> component_id"))

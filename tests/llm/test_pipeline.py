@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from compare import differences
 from seqstates.llm import bpe, lines, minhash, queries, templates
-from seqstates.llm.common import table
+from seqstates.llm.common import sieve, table, without
+from seqstates.sources import scratch
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -267,3 +268,26 @@ def test_short_and_unspaced_lines(spark):
     wanted = {r["doc_id"]: r["text"] for r in without_repeats([{"doc_id": i, "text": t} for i, t in enumerate(texts)])}
     kept = {r.doc_id: r.text for r in got.collect()}
     assert {i: t for i, t in kept.items() if t} == {i: t for i, t in wanted.items() if t}
+
+
+def test_stages_move_and_leave_little(spark, sf_dir):
+    """Language detection does not join all texts with the ids that stay; no copy of bands or texts stays after near-dedup."""
+    docs = table(spark, sf_dir, "documents")
+    kept = corpus_pipeline.keep_known_language(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and "LeftSemi" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    since = scratch.written_count()
+    minhash.near_duplicates(docs).count()
+    left = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path in scratch._written[since:]}
+    assert left <= {"classes", "sizes", "links"}
+
+
+def test_sieve_loses_no_partner(spark):
+    rows = spark.range(20_000).selectExpr("id", "if(id % 7 = 0, NULL, xxhash64(id)) AS key", "if(id % 7 = 0, NULL, id) AS row")
+    wanted = scratch.materialize(rows.where("id % 100 = 1").select("key", "row"), "wanted")
+    passed = {r.id for r in sieve(rows, wanted, "key").collect()}
+    hit = {i for i in range(1, 20_000, 100) if i % 7}
+    assert hit <= passed and len(passed) < 2 * len(hit)
+    assert sieve(rows, wanted.limit(0), "key").count() == 0
+    stay = without(rows, wanted.select("row"), "row")
+    assert sorted(r.id for r in stay.collect()) == [i for i in range(20_000) if i not in hit]
+    assert without(rows, wanted.select("row").limit(0), "row").count() == 20_000
