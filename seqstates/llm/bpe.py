@@ -7,7 +7,7 @@ The longest such chain times the longest token is the sufficient lookahead of th
 list.  A word is read into a window; tokens that end at least a lookahead before the end
 of the window are stable, are emitted, and leave the window.  So a word of any length
 needs memory for one window only.  Texts are cut into blocks at blanks, and repeated
-chunks between blanks are served from a cache of bounded size.
+words are served from a cache of bounded size that keeps those used of late.
 
 `Decoder` is the reverse state machine: ids in, text out, piece by piece, holding back
 at most the bytes of one unfinished character.  `joined` gives what the library's decode
@@ -25,18 +25,21 @@ import hashlib
 import heapq
 import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 500_000  # words in the cache
 SHORT = 24  # symbols that are merged by plain search
-BLOCK = 1_000_000  # characters encoded at once
+BLOCK = 1_000_000  # characters encoded, and ids emitted, at once
 END = "</w>"
 # What the tokenizer library's Unicode tables (16.0) have other than ours.
 # White space of its pattern engine; letters and numbers too new for it; lower case of letters too new for Python's.
@@ -51,19 +54,29 @@ _TOO_NEW = (
     r"\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF"
     r"\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
 )
-_BLANKS = regex.compile(f"[{_BLANK}]+")
-_CONTROLS = regex.compile("[\x1C-\x1F]")  # blanks to Python only
+_LETTER, _NUMBER = rf"[\p{{L}}--[{_TOO_NEW}]]", rf"[\p{{N}}--[{_TOO_NEW}]]"
 _LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {
     0x10D50 + i: 0x10D70 + i for i in range(22)
 }
-_ODD_CASE = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
+_ODD_CASE = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+_BEYOND = re.compile("[\U00010000-\U0010FFFF]")
 
 
 def word_pattern() -> regex.Pattern:
     """Fixed value: the word pattern of the tokenizer file."""
-    letters, numbers = rf"[\p{{L}}--[{_TOO_NEW}]]", rf"[\p{{N}}--[{_TOO_NEW}]]"
     other = rf"[^[{_BLANK}][\p{{L}}\p{{N}}--[{_TOO_NEW}]]]"
-    return regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|{other}+")
+    return regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|{other}+")
+
+
+def plain_pattern() -> re.Pattern:
+    """`word_pattern` for texts of characters up to U+FFFF, with ranges for its classes, which Python's engine looks up faster."""
+    every = "".join(map(chr, range(0x10000)))
+
+    def ranges(one: str) -> str:
+        return "".join(rf"\u{ord(m[0][0]):04X}-\u{ord(m[0][-1]):04X}" for m in regex.finditer(f"(?V1){one}+", every))
+
+    letters, numbers, blanks = map(ranges, (_LETTER, _NUMBER, f"[{_BLANK}]"))
+    return re.compile(f"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{numbers}]|[^{blanks}{letters}{numbers}]+")
 
 
 def byte_characters() -> list[str]:
@@ -84,14 +97,19 @@ class Transducer:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
+        self.merged = [left + right for left, right in merges]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.bytes_shown = byte_characters()
+        self.bytes_ending = [c + END for c in self.bytes_shown]
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self.pattern = word_pattern()
+        self.pattern, self.plain = word_pattern(), plain_pattern()
         self.lookahead = sufficient_lookahead(merges)
-        self.shown = {str(i): t for i, t in self.names.items()}
-        self.cache: dict[str, str] = {}  # ids, as text, of words and of the chunks that they form
+        self.shown = pa.array(map(self.names.get, range(max(self.names) + 1)), pa.string())
+        self.decimal = pa.array(map(str, range(max(self.names) + 1)), pa.string())
+        self.id_bytes = {t: np.int32(i).tobytes() for t, i in self.vocab.items()}
+        self.cache: dict[str, bytes] = {}  # ids of words
+        self.older: dict[str, bytes] = {}  # words that go with the next half of a cache, unless met before
 
     def symbols(self, word: str, start: int, length: int) -> Iterator[str]:
         """The symbols of a piece of a word; the last one of the word carries the end mark."""
@@ -105,14 +123,16 @@ class Transducer:
         """Apply the best-ranked merge, leftmost first, until none is left."""
         ranks, n = self.ranks, len(symbols)
         if n <= SHORT:
-            get, none = ranks.get, len(ranks)
-            while len(symbols) > 1:
-                costs = [get(p, none) for p in zip(symbols, symbols[1:])]
-                best = min(costs)
-                if best == none:
-                    break
+            get, none = ranks.get, len(self.merged)
+            costs = [get(p, none) for p in zip(symbols, symbols[1:])]
+            while costs and (best := min(costs)) != none:
                 i = costs.index(best)
-                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                symbols[i] = token = self.merged[best]
+                del symbols[i + 1], costs[i]
+                if i:
+                    costs[i - 1] = get((symbols[i - 1], token), none)
+                if i < len(costs):
+                    costs[i] = get((token, symbols[i + 1]), none)
             return symbols
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
@@ -137,10 +157,6 @@ class Transducer:
 
     def tokens(self, word: str) -> Iterator[str]:
         """Tokens of a word, each as soon as no later symbol can change it."""
-        if len(word) <= SHORT and word.isascii():
-            shown = self.bytes_shown
-            yield from self.merge([shown[ord(c)] for c in word[:-1]] + [shown[ord(word[-1])] + END])
-            return
         step = 3 * self.lookahead
         window: list[str] = []
         for start in range(0, len(word), step):
@@ -156,31 +172,26 @@ class Transducer:
             del window[:used]
         yield from self.merge(window)
 
-    def word(self, word: str) -> str:
-        """Ids of a word as text."""
-        found = self.cache.get(word)
+    def word(self, word: str) -> bytes:
+        """Ids of a word that the newer half of the cache does not have."""
+        found = self.older.get(word)
         if found is None:
-            found = " ".join([str(self.vocab[token]) for token in self.tokens(word)])
-            self.remember(word, found)
-        return found
-
-    def chunk(self, chunk: str) -> str:
-        """Ids, as text, of a text without blanks."""
-        words = self.pattern.findall(chunk)
-        found = " ".join(map(self.word, words))
-        if len(words) != 1:
-            self.remember(chunk, found)
-        return found
-
-    def remember(self, text: str, ids: str) -> None:
-        """Keep short entries, a bounded number of them."""
-        if len(text) <= 64:
-            if len(self.cache) >= self.cache_chunks:
+            if len(word) <= SHORT:  # one window
+                data, shown = word.encode(), self.bytes_shown
+                tokens = self.merge([*map(shown.__getitem__, data[:-1]), self.bytes_ending[data[-1]]])
+            else:
+                tokens = self.tokens(word)
+            found = b"".join(map(self.id_bytes.__getitem__, tokens))
+        if len(word) <= 64:
+            if 2 * len(self.cache) >= self.cache_chunks:
+                self.older.clear()
+                self.older.update(self.cache)
                 self.cache.clear()
-            self.cache[text] = ids
+            self.cache[word] = found
+        return found
 
-    def blocks(self, text: str) -> Iterator[list[str]]:
-        """Ids of a text in order, chunk by chunk, a bounded part of the text at a time."""
+    def blocks(self, text: str) -> Iterator[np.ndarray]:
+        """Ids of a text in order, a bounded part of the text and a bounded number of them at a time."""
         known, done = self.cache.get, 0
         for match in itertools.chain(self.cut.finditer(text) if "<|" in text else (), (None,)):
             end = match.start() if match else len(text)
@@ -188,15 +199,16 @@ class Transducer:
                 stop = text.find(" ", min(done + BLOCK, end), end)  # nothing composes across a blank
                 stop = end if stop < 0 else stop
                 part = normalised(text[done:stop])
-                chunks = part.split() if _CONTROLS.search(part) is None else _BLANKS.split(part)
-                yield [ids for c in chunks if (ids := known(c) or self.chunk(c))]
+                pattern = self.plain if part.isascii() or _BEYOND.search(part) is None else self.pattern
+                ids = np.frombuffer(b"".join([known(w) or self.word(w) for w in pattern.findall(part)]), np.int32)
+                yield from (ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK))
                 done = stop
             if match:
-                yield [str(self.special[match[0]])]
+                yield np.array([self.special[match[0]]], np.int32)
                 done = match.end()
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for block in self.blocks(text or "") for ids in block for i in ids.split()]
+        return [i for block in self.blocks(text or "") for i in block.tolist()]
 
     def joined(self, ids: Iterable[int]) -> str:
         """Token strings joined by blanks."""
@@ -251,14 +263,17 @@ class Decoder:
 class Joiner:
     """Incremental decoder of a file that names no decoder: the strings of the tokens, with a blank between two.
 
-    Takes ids as text, any number at a time, and gives the text they add.
+    Takes any number of ids at a time and gives the text they add.
     """
 
-    def __init__(self, transducer: Transducer):
-        self.shown, self.begun = transducer.shown, False
+    def __init__(self, strings: pa.Array):
+        self.strings, self.begun = strings, False
 
-    def feed(self, ids: str) -> str:
-        text = " ".join(map(self.shown.__getitem__, ids.split(" ")))
+    def feed(self, ids: np.ndarray) -> str:
+        if not len(ids):
+            return ""
+        row = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), self.strings.take(pa.array(ids)))
+        text = pc.binary_join(row, " ")[0].as_py()
         if self.begun:
             return " " + text
         self.begun = True
@@ -296,13 +311,12 @@ def encoded_digests(
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column(1):
-                total, ids_hash, decoded_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Joiner(encoder)
-                for block in encoder.blocks(text.as_py() or ""):
-                    if block:
-                        emitted = " ".join(block)
-                        ids_hash.update(((" " if total else "") + emitted).encode())
-                        total += emitted.count(" ") + 1
-                        decoded_hash.update(decoder.feed(emitted).encode())
+                total, ids_hash, decoded_hash = 0, hashlib.sha256(), hashlib.sha256()
+                lister, decoder = Joiner(encoder.decimal), Joiner(encoder.shown)
+                for emitted in encoder.blocks(text.as_py() or ""):
+                    total += len(emitted)
+                    ids_hash.update(lister.feed(emitted).encode())
+                    decoded_hash.update(decoder.feed(emitted).encode())
                 counts.append(total)
                 ids.append(ids_hash.hexdigest())
                 decoded.append(decoded_hash.hexdigest())

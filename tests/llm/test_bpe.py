@@ -1,6 +1,7 @@
 """The transducer against the tokenizers library, and round trips of the state machine."""
 
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -41,6 +42,49 @@ def test_long_words_stream(letters):
     assert OWN.encode(word) == LIBRARY.encode(word, add_special_tokens=False).ids
 
 
+def counting(cache_chunks):
+    """A transducer, and the words it merges, by their symbols."""
+    own, merged, merge = bpe.Transducer(PATH, cache_chunks), [], bpe.Transducer.merge
+    own.merge = lambda symbols: merged.append("".join(symbols).removesuffix(bpe.END)) or merge(own, symbols)
+    return own, merged
+
+
+def test_words_merge_once_whatever_stands_beside_them():
+    own, merged = counting(1000)
+    text = "stone, stone. (stone) Stone;stone's <stone>\nstone!? \U0001F642stone"
+    assert own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert merged.count("stone") == 1 and len(merged) == len(set(merged))
+    assert len(own.cache) + len(own.older) == len(merged)  # no entry but words
+
+
+def test_words_in_use_stay_in_a_full_cache():
+    own, merged = counting(20)
+    rare = ["".join(p) for p in itertools.product("abcdef", repeat=3)]
+    text = " ".join(f"stone {word}" for word in rare)
+    assert own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert merged.count("stone") == 1 and len(merged) == len(rare) + 1
+    assert len(own.cache) + len(own.older) <= 21
+
+
+def test_plain_pattern_cuts_as_the_word_pattern():
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(5)
+    for text in ["".join(every), " ".join(every), "'".join(every), "".join(rng.choices(every, k=200_000)), "'re've'll'r'd'S'sa''t"]:
+        assert OWN.plain.findall(text) == OWN.pattern.findall(text)
+
+
+def test_pieces_of_ids_are_bounded(monkeypatch):
+    """A text without a blank gives several pieces of ids; their strings join to those of the whole."""
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    text = "stone,fish;" * 9 + "<|endoftext|> end"
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids
+    pieces = list(OWN.blocks(text))
+    assert [i for p in pieces for i in p.tolist()] == ids and max(map(len, pieces)) == 7
+    lister, decoder = bpe.Joiner(OWN.decimal), bpe.Joiner(OWN.shown)
+    assert "".join(map(lister.feed, pieces)) == " ".join(map(str, ids))
+    assert "".join(map(decoder.feed, pieces)) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
 def test_decoder_gives_words_back():
     machine = bpe.Decoder(OWN)
     text = "größe 日本 the end"
